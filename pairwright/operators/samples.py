@@ -11,7 +11,7 @@ from pairwright.operators.skew import bucket_of, positions_by_bucket, value_boun
 
 def shuffled_positions(df: DataFrame, key: str, seed: int = 42, shuffle: bool = True,
                        name: str = "position") -> DataFrame:
-    """Exact 1-based positions in a seeded hash order (or in id order without shuffle).
+    """Exact 1-based positions in a seeded hash order (or in order of a numeric key).
 
     The order's buckets are the top bits of the hash, so they are even, known in advance and
     the same in every run; no task sorts the whole set.
