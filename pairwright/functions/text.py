@@ -22,7 +22,7 @@ def _without_braces(value: Column) -> Column:
 def parse_skills(value: Column) -> Column:
     """``{a,"b c"}`` or ``a, b`` to a list without empty items; null to an empty list."""
     items = F.filter(
-        F.transform(F.split(_without_braces(value), ","), F.trim), lambda item: item != ""
+        F.transform(F.split(_without_braces(value), ","), lambda item: F.trim(item)), lambda item: item != ""
     )
     unquoted = F.transform(
         items, lambda item: F.regexp_replace(F.regexp_replace(item, '^"+|"+$', ""), "^'+|'+$", "")

@@ -44,7 +44,7 @@ def size_hint(url: Column) -> Column:
 
 def _best_of_srcset(srcset: Column) -> Column:
     """Url with the largest ``x`` or ``w`` descriptor (or size hint); the first one on ties."""
-    parts = F.filter(F.transform(F.split(srcset, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(srcset, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def scored(part: Column, at: Column) -> Column:
         words = F.split(part, r"\s+")

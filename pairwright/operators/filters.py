@@ -170,14 +170,15 @@ def eligible_pairs(
     job_cells = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
         F.transform(
-            F.coalesce(levels, F.array().cast("array<int>")),
+            F.coalesce("_levels", F.array().cast("array<int>")),
             lambda level: F.concat(
                 F.lit("g:"), own_cell(F.col("latitude"), F.col("longitude"), level).cast("string")
             ),
         ),
     )
     keyed = (
-        jobs.withColumn("_country", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))))
+        jobs.withColumn("_levels", levels)
+        .withColumn("_country", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))))
         .withColumn("_experience", F.explode(F.array_compact(F.array(F.lit("*"), F.col("experience")))))
         .withColumn("_place", F.explode(F.concat(
             F.array_compact(F.array(F.lit("*"), F.concat(F.lit("c:"), F.col("city")))),

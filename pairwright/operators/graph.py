@@ -15,7 +15,7 @@ from pairwright import fixed_values as fv
 from pairwright.operators.skew import salted_join
 
 SKILL_SCHEMA = "id string, name string, category string, aliases array<string>, seq int"
-RELATION_SCHEMA = "source string, target string, relation string, weight double, seq int"
+RELATION_SCHEMA = "source string, target string, relation string, weight double, seq bigint"
 
 
 def default_taxonomy(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -41,10 +41,11 @@ def scan_jobs_star(jobs: DataFrame, companies: DataFrame, locations: DataFrame,
 
 def job_text(title, description, short_description):
     """Title and description (else the short one), trimmed."""
-    return F.trim(F.concat_ws(
+    joined = F.concat_ws(
         " ", F.coalesce(title, F.lit("")),
         F.coalesce(blank_to_null(description), short_description, F.lit("")),
-    ))
+    )
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
 def scan_active_jobs_text(jobs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -105,13 +106,15 @@ def scan_training_jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_taxonomy_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(skills, relations) of a taxonomy: one document, or JSON-lines tables of both parts.
+def scan_taxonomy_json(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(skills, relations) of taxonomy documents, each one JSON value.
 
-    One document is a single JSON value, so it is read by one task; large graphs are stored
-    as the two tables ``sink_taxonomy_json`` writes with ``document=False``.
+    A document is read by one task; large graphs belong in the two tables that
+    ``sink_taxonomy_json`` writes and ``scan_taxonomy_tables`` reads.
     """
-    document = spark.read.schema(schemas.TAXONOMY).option("multiLine", True).json(path)
+    document = spark.read.schema(schemas.TAXONOMY).option("multiLine", multi_line).json(path)
     skills = document.select(F.posexplode("skills").alias("seq", "_s")).select(
         "_s.id", "_s.name", "_s.category",
         F.coalesce("_s.aliases", F.array().cast("array<string>")).alias("aliases"), "seq",
@@ -155,7 +158,7 @@ def scan_statsd_log(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("flush"), "value",
         )
     )
-    return parse_dump(flushes, "value", ["file", "flush"])
+    return parse_dump(flushes, "value", ["file", "block", "flush"])
 
 
 def parse_dump(flushes: DataFrame, text: str, order: list[str]) -> DataFrame:
