@@ -195,8 +195,8 @@ def empirical_cdf(df: DataFrame, value: str, buckets: int = 32) -> DataFrame:
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
     bounds = value_bounds(counted, value, buckets)
     placed = counted.withColumn("_b", bucket_of(F.col(value), bounds))
-    ranked = positions_by_bucket(placed, "_b", [F.col(value)], "_at")
-    summed = running_sum_by_rank(ranked.withColumn("_all", F.lit(0)), ["_all"], "_at", F.col("count"), "_below")
+    ranked = positions_by_bucket(placed, "_b", [F.col(value)], "_rank")
+    summed = running_sum_by_rank(ranked.withColumn("_all", F.lit(0)), ["_all"], "_rank", F.col("count"), "_below")
     total = df.agg(F.count(value).alias("n")).scalar()
     return summed.select(value, "count", (F.col("_below") / total).alias("cdf"))
 

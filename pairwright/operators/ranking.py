@@ -24,8 +24,8 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     """A deterministic stand-in encoder: one pseudo-random vector per word."""
 
     def word_vector(word: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return np.random.default_rng(seed).standard_normal(dim)
+        digest = hashlib.shake_128(word.encode()).digest(dim)
+        return np.frombuffer(digest, dtype=np.uint8) / 127.5 - 1.0
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
         known: dict[str, np.ndarray] = {}

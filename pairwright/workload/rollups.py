@@ -68,8 +68,8 @@ def _(spark, sf):
 
 @query("score_transform_compare", f"""WITH d AS (SELECT value / 200 AS d FROM events),
   q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS point, unnest(quantile_cont(d, [0.1, 0.25, 0.5, 0.75, 0.9])) AS raw FROM d),
-  at AS (SELECT point, raw, (SELECT min(d) FROM d WHERE d >= raw) AS x FROM q)
-  SELECT 'percentile' AS kind, point, round(raw, 6) AS raw, round({LINEAR_SQL.format(d='x')}, 6) AS linear, {SIGMOID_SQL.format(d='x')} AS sigmoid FROM at
+  hit AS (SELECT point, raw, (SELECT min(d) FROM d WHERE d >= raw) AS x FROM q)
+  SELECT 'percentile' AS kind, point, round(raw, 6) AS raw, round({LINEAR_SQL.format(d='x')}, 6) AS linear, {SIGMOID_SQL.format(d='x')} AS sigmoid FROM hit
   UNION ALL SELECT 'fixed', p, p, {LINEAR_SQL.format(d='p')}, {SIGMOID_SQL.format(d='p')}
   FROM (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.7, 0.9, 1.0, 1.5, 2.0]::DOUBLE[]) AS p)""")
 def _(spark, sf):
@@ -103,8 +103,8 @@ def _(spark, sf):
     return aggregates.miner_statistics(docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left"))
 
 
-@query("skill_embedding_pool", """WITH v AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS at FROM embeddings),
-  m AS (SELECT l_orderkey AS g, at, avg(x) AS x FROM lineitem JOIN v ON vec_id = l_partkey GROUP BY 1, 2)
+@query("skill_embedding_pool", """WITH v AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+  m AS (SELECT l_orderkey AS g, pos, avg(x) AS x FROM lineitem JOIN v ON vec_id = l_partkey GROUP BY 1, 2)
   SELECT o_orderkey AS g, round(coalesce(sum(x), 0), 6) AS total, round(coalesce(sum(x * x), 0), 6) AS squares FROM orders LEFT JOIN m ON g = o_orderkey GROUP BY 1""")
 def _(spark, sf):
     members = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("skill"))
