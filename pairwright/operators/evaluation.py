@@ -150,7 +150,7 @@ def contrastive_losses(
     """
     names = ["in_batch", "explicit", "triplet", "mnrl", "online", "total"]
 
-    def losses(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def losses(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > max_batch:
             raise ValueError(f"batch {key[0]} has {len(frame)} rows, more than {max_batch}")
         frame = frame.sort_values("sample_id")

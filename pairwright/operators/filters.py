@@ -176,14 +176,15 @@ def eligible_pairs(
             ),
         ),
     )
+    read = ["title", "description", "experience", "company_name", "city", "country", "latitude", "longitude"]
     keyed = (
-        jobs.withColumn("_levels", levels)
-        .withColumn("_country", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))))
-        .withColumn("_experience", F.explode(F.array_compact(F.array(F.lit("*"), F.col("experience")))))
-        .withColumn("_place", F.explode(F.concat(
+        jobs.select(job_id, *read, *keep, levels.alias("_levels"))
+        .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))).alias("_country"))
+        .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("experience")))).alias("_experience"))
+        .select("*", F.explode(F.concat(
             F.array_compact(F.array(F.lit("*"), F.concat(F.lit("c:"), F.col("city")))),
             F.coalesce(job_cells, F.array().cast("array<string>")),
-        )))
+        )).alias("_place"))
     )
     keys = ["_country", "_experience", "_place"]
     keyed = keyed.join(asked.select(*keys).distinct(), keys, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,33 +21,30 @@ def radius_level(radius_m: Column) -> Column:
     ).cast("int")
 
 
-def _height(level: Column) -> Column:
-    return F.lit(360.0) / F.pow(F.lit(2.0), level)
-
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, so that expressions stay small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _band(lat: Column, level: Column) -> Column:
-    return F.floor((lat + 90.0) / _height(level)).cast("int")
 
-
-def _columns(band: Column, level: Column) -> Column:
+def _columns(band: Column, size: Column) -> Column:
     """Cells around one latitude band; no cell is narrower than the band is high.
 
     The width is taken one band nearer to the pole, so it also holds for circles that start
     in the neighbour band; bands next to a pole are one single cell.
     """
-    size = _height(level)
-    south, north = band * size - 90.0, (band + 1) * size - 90.0
-    edge = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north)) + size)
-    ratio = F.sin(F.radians(size) / 2.0) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
-    width = F.degrees(2.0 * F.asin(F.least(F.lit(1.0), ratio)))
-    return F.when(
-        (edge >= 90.0) | (size >= 90.0) | (ratio >= 1.0), F.lit(1)
-    ).otherwise(F.greatest(F.lit(1), F.floor(360.0 / width).cast("int")))
+    middle = (band + 0.5) * size - 90.0
+    edge = F.abs(middle) + size * 1.5
+
+    def count(ratio: Column) -> Column:
+        # at a pole the cosine is (nearly) zero or negative and the ratio leaves (0, 1)
+        width = F.degrees(2.0 * F.asin(ratio))
+        return F.when((ratio > 0) & (ratio < 1), F.greatest(F.lit(1.0), F.floor(360.0 / width))).otherwise(1.0)
+
+    return _bind(F.when(edge < 90.0, F.sin(F.radians(size) / 2.0) / F.cos(F.radians(edge))), count)
 
 
 def _column_of(lon: Column, count: Column) -> Column:
-    turned = F.pmod(lon + 180.0, F.lit(360.0)) / 360.0
-    return F.least(F.floor(turned * count).cast("int"), count - 1)
+    return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * count), count - 1)
 
 
 def _cell(level: Column, band: Column, column: Column) -> Column:
@@ -55,21 +53,42 @@ def _cell(level: Column, band: Column, column: Column) -> Column:
     return (level.cast("bigint") * wide + band.cast("bigint")) * wide + column.cast("bigint")
 
 
+def _band(lat: Column, size: Column) -> Column:
+    return F.floor((lat + 90.0) / size)
+
+
+def _size(level: Column) -> Column:
+    return F.lit(360.0) / F.pow(F.lit(2.0), level)
+
+
 def own_cell(lat: Column, lon: Column, level: Column) -> Column:
-    band = _band(lat, level)
-    return _cell(level, band, _column_of(lon, _columns(band, level)))
+    def placed(size: Column) -> Column:
+        return _bind(_band(lat, size), lambda band: _cell(
+            level, band, _column_of(lon, _columns(band, size))
+        ))
+
+    return _bind(_size(level), placed)
 
 
 def reach_cells(lat: Column, lon: Column, level: Column) -> Column:
     """All cells a circle no larger than a cell can touch, wrapping at 180 degrees."""
-    bands = F.array(*[_band(lat, level) + step for step in (-1, 0, 1)])
 
-    def around(band: Column) -> Column:
-        count = _columns(band, level)
-        own = _column_of(lon, count)
-        return F.array(*[_cell(level, band, F.pmod(own + step, count)) for step in (-1, 0, 1)])
+    def around(size: Column, band: Column) -> Column:
+        def neighbours(count: Column) -> Column:
+            return _bind(_column_of(lon, count), lambda own: F.transform(
+                F.array(F.lit(-1), F.lit(0), F.lit(1)),
+                lambda step: _cell(level, band, F.pmod(own + step, count)),
+            ))
+
+        return _bind(_columns(band, size), neighbours)
+
+    def bands(size: Column) -> Column:
+        return F.transform(
+            F.array(F.lit(-1), F.lit(0), F.lit(1)),
+            lambda step: _bind(_band(lat, size) + step, lambda band: around(size, band)),
+        )
 
-    return F.array_distinct(F.flatten(F.transform(bands, around)))
+    return F.array_distinct(F.flatten(_bind(_size(level), bands)))
 
 
 def levels_in_use(requests: DataFrame, radius_m: Column) -> DataFrame:

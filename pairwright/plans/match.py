@@ -11,9 +11,10 @@ from pairwright.operators.aggregates import fold_job_fields
 from pairwright.operators.filters import eligible_pairs
 from pairwright.operators.joins import exclusion_union
 from pairwright.operators.paging import (
-    cut_page, fallback_fill, in_windows, score_threshold, sort_key, sort_within,
+    cut_page, fallback_fill, in_windows, page_windows, score_threshold, sort_key, sort_within,
 )
 from pairwright.operators.vectors import vector_topk_join
+from pairwright.session import cut_lineage
 
 FILTER_COLUMNS = ("locations", "keywords", "experience", "company", "is_remote_only", "fields")
 
@@ -64,6 +65,21 @@ def ranked_matches(
     return found.withColumn("score", score_to_percentage(F.col("distance")))
 
 
+def ranks_needed(requests: DataFrame) -> int:
+    """Deepest rank any page of the request table can show."""
+    last = F.array_max(page_windows(F.col("offset")))
+    deepest = requests.agg(F.max(last).alias("w")).first()["w"]
+    return (int(deepest or 0) + 1) * fv.WINDOW_ROWS
+
+
+def short_requests(requests: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Requests whose loaded windows may need filling, so only they search unfiltered."""
+    counts = ranked.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    early = requests.where(F.col("offset") < fv.WINDOW_ROWS)
+    full = counts.where(F.col("_n") >= fv.WINDOW_ROWS).select("request_id")
+    return early.join(full, "request_id", "left_anti")
+
+
 def match_user_jobs(
     requests: DataFrame, jobs: DataFrame, applied: DataFrame, rejected: DataFrame,
     cooled: DataFrame, as_of: Column, bridge: DataFrame | None = None,
@@ -76,7 +92,10 @@ def match_user_jobs(
     Returns ``request_id, position, job_id, distance, score, rank, tier, total_count`` and the
     field sets when a field table is given.
     """
-    ranked = ranked_matches(requests, jobs, applied, rejected, cooled, bridge)
+    # the ranked table is read by several branches below: search once, write once
+    ranked = cut_lineage(ranked_matches(
+        requests, jobs, applied, rejected, cooled, bridge, k=ranks_needed(requests)
+    ))
     dates = jobs.select("job_id", "posted_date")
     asked = requests.select("request_id", "sort_type", score_threshold(F.col("fields")).alias("_threshold"))
     key = sort_key(F.col("sort_type"), F.col("score"), F.col("posted_date"), as_of, F.col("_threshold"))
@@ -86,9 +105,10 @@ def match_user_jobs(
 
     windows = loaded(in_windows(ranked, requests).drop("offset"))
     if fallback:
-        spare = loaded(ranked_matches(
-            requests, jobs, applied, rejected, cooled, k=fv.WINDOW_ROWS, filtered=False
-        ))
+        spare = loaded(cut_lineage(ranked_matches(
+            short_requests(requests, ranked), jobs, applied, rejected, cooled, k=fv.WINDOW_ROWS,
+            filtered=False,
+        )))
         filled = fallback_fill(windows, spare, requests, key)
     else:
         filled = (

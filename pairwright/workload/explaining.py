@@ -107,7 +107,7 @@ def _(spark, sf):
         part["match_score"].alias("match_score"), part["strength"].alias("strength")))
 
 
-@query("explain_location", f"""WITH {MATCHES}, {LOC} SELECT m.job_id, rp2 AS candidate_location, ls AS match_score,
+@query("explain_location", f"""WITH {MATCHES}, {LOC} SELECT m.job_id, rp2 AS candidate_location, ls::DOUBLE AS match_score,
   CASE WHEN ls = 1 THEN 'strong' WHEN ls = 0.8 THEN 'moderate' WHEN ls = 0.3 THEN 'weak' END AS strength FROM m LEFT JOIN lo ON lo.job_id = m.job_id""")
 def _(spark, sf):
     part = F.col("location_explanation")
