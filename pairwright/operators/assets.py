@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pairwright.functions.text import blank_to_null
 
@@ -61,7 +62,7 @@ def _best_of_srcset(srcset: Column) -> Column:
     return F.array_max(F.transform(parts, scored))["url"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _absolute(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(
         [None if u is None else urljoin(b or "", u) for b, u in zip(base, url)], dtype=object

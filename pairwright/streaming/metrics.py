@@ -13,6 +13,15 @@ from pairwright import fixed_values as fv
 from pairwright.functions.scores import duration_category, query_duration_category
 
 
+def timed(events: DataFrame, time: str, watermark: str) -> DataFrame:
+    """Events with a watermark on streams; plain wall-clock times get the session's zone first."""
+    if not events.isStreaming:
+        return events
+    if events.schema[time].dataType.simpleString() == "timestamp_ntz":
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
+    return events.withWatermark(time, watermark)
+
+
 def parse_statsd(lines: DataFrame, value: str = "value") -> DataFrame:
     """``name:value|type|@rate|#k:v,...`` to columns; malformed lines are dropped.
 
@@ -43,7 +52,7 @@ def parse_statsd(lines: DataFrame, value: str = "value") -> DataFrame:
     )))
     parsed = lines.withColumns({
         "name": name, "metric_value": number, "type": kind,
-        "sample_rate": F.coalesce(F.element_at(rates, -1), F.lit(1.0)), "tags": tags,
+        "sample_rate": F.coalesce(F.try_element_at(rates, F.lit(-1)), F.lit(1.0)), "tags": tags,
     })
     known = F.col("type").isin("c", "g", "ms", "h")
     return parsed.where(line.contains(":") & F.col("metric_value").isNotNull() & known)
@@ -61,17 +70,17 @@ def statsd_rollup(
     source = metrics.withColumn("_tags", F.to_json("tags")) if by_tags else metrics
     keys = ["name", "type"] + (["_tags"] if by_tags else [])
     value, kind = F.col("metric_value"), F.col("type")
-    timed = kind.isin("ms", "h")
+    spread = kind.isin("ms", "h")
     rolled = (
-        source.withWatermark(time, watermark)
+        timed(source, time, watermark)
         .groupBy(F.window(time, f"{seconds} seconds").alias("window"), *keys)
         .agg(
             F.count(F.lit(1)).alias("samples"),
             F.sum(F.when(kind == "c", value / F.col("sample_rate"))).alias("counter"),
             F.max_by(F.when(kind == "g", value), F.when(kind == "g", F.col(time))).alias("gauge"),
-            F.min(F.when(timed, value)).alias("min"),
-            F.avg(F.when(timed, value)).alias("avg"),
-            F.max(F.when(timed, value)).alias("max"),
+            F.min(F.when(spread, value)).alias("min"),
+            F.avg(F.when(spread, value)).alias("avg"),
+            F.max(F.when(spread, value)).alias("max"),
         )
     )
     named = rolled.withColumnRenamed("_tags", "tags") if by_tags else rolled
@@ -102,7 +111,7 @@ def http_request_rollup(
     """
     status = F.concat(F.floor(F.col("status_code") / 100).cast("string"), F.lit("xx"))
     return (
-        requests.withWatermark(time, watermark)
+        timed(requests, time, watermark)
         .groupBy(F.window(time, f"{seconds} seconds").alias("window"), "method", "route",
                  status.alias("status_range"))
         .agg(
@@ -171,7 +180,7 @@ def operation_outcomes(
     keys: list = [F.col(operation), status.alias("status"), F.col(error_type)]
     source = events
     if time:
-        source = events.withWatermark(time, watermark)
+        source = timed(events, time, watermark)
         keys.insert(0, F.window(time, f"{seconds} seconds").alias("window"))
     return source.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"), F.min(duration).alias("min_ms"),
@@ -220,5 +229,4 @@ def bottleneck_report(samples: DataFrame, name: str = "name", value: str = "valu
 def requests_retention(requests: DataFrame, as_of: Column, time: str = "ts",
                        days: int = fv.REQUEST_RETENTION_DAYS) -> DataFrame:
     """Requests of the last ``days``; on a stream, state older than that is dropped as well."""
-    kept = requests.withWatermark(time, f"{days} days") if requests.isStreaming else requests
-    return kept.where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
+    return timed(requests, time, f"{days} days").where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
