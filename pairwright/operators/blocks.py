@@ -18,24 +18,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.operators.skew import top_k
+from pairwright.operators.skew import salted_join, top_k
+from pairwright.session import cut_lineage
 
 SCORE_DIGITS = 9
 QUERY_BLOCK_ROWS = 4096
 ITEM_BLOCK_ROWS = 4096
+BROADCAST_SEGMENTS = 100_000
 _CHUNK_CELLS = 4_000_000
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def _block_counts(df: DataFrame, name: str, rows: int) -> DataFrame:
-    return df.groupBy("_seg").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+def _block_counts(df: DataFrame, name: str, rows: int, by: Sequence[str] = ()) -> DataFrame:
+    count = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias(name)
+    return df.groupBy(*by).agg(count) if by else df.agg(count)
 
 
 def _block(column: str, count: str) -> Column:
     return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
 
 
+def _with_block_counts(
+    left: DataFrame, right: DataFrame, segmented: bool, left_rows: int, right_rows: int, spread_by: str
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the number of blocks of each side, ``_nq`` and ``_ni``."""
+    if not segmented:
+        counts = {
+            "_nq": _block_counts(left, "n", left_rows).scalar(),
+            "_ni": _block_counts(right, "n", right_rows).scalar(),
+        }
+        return left.withColumns(counts), right.withColumns(counts)
+    # one row per segment; small tables are broadcast, others meet the items by a salted join
+    blocks = cut_lineage(
+        _block_counts(left, "_nq", left_rows, ["_seg"])
+        .join(_block_counts(right, "_ni", right_rows, ["_seg"]), "_seg")
+    )
+    if blocks.count() <= BROADCAST_SEGMENTS:
+        small = F.broadcast(blocks)
+        return left.join(small, "_seg"), right.join(small, "_seg")
+    return left.join(blocks, "_seg"), salted_join(right, blocks, ["_seg"], spread_by=[spread_by])
+
+
 def blocked_top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -60,12 +84,11 @@ def blocked_top_k(
     seg = F.col(segment).cast("string") if segment else F.lit("")
     left = queries.withColumn("_seg", seg)
     right = items.withColumn("_seg", seg)
-    left_blocks = _block_counts(left, "_nq", query_block_rows)
-    right_blocks = _block_counts(right, "_ni", item_block_rows)
-    blocks = left_blocks.join(right_blocks, "_seg")
-
-    left = left.join(blocks, "_seg").withColumn("_qb", _block(query_id, "_nq"))
-    right = right.join(blocks, "_seg").withColumn("_ib", _block(item_id, "_ni"))
+    left, right = _with_block_counts(
+        left, right, segment is not None, query_block_rows, item_block_rows, item_id
+    )
+    left = left.withColumn("_qb", _block(query_id, "_nq"))
+    right = right.withColumn("_ib", _block(item_id, "_ni"))
     spread_left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
     spread_right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
     spread_left = spread_left.withColumn("_out", F.lit(None).cast(items.schema[item_id].dataType))

@@ -35,6 +35,14 @@ def phrase_matches(title: Column, description: Column, phrase: Column) -> Column
     )
 
 
+_WILD = r"[%_\\\\]"
+
+
+def _plain(pattern: Column) -> Column:
+    """The lower-cased pattern when it has no wildcards, so that it need not be compiled per row."""
+    return F.when(~pattern.rlike(_WILD), F.lower(pattern))
+
+
 def company_matches(company_name: Column, wanted: Column) -> Column:
     return F.coalesce(F.ilike(company_name, wanted), F.lit(False))
 
@@ -118,9 +126,11 @@ def _alternatives(requests: DataFrame) -> DataFrame:
     radius = F.coalesce(F.col("_loc.radius_km"), F.lit(fv.DEFAULT_RADIUS_KM))
     geo = F.col("_loc.latitude").isNotNull() & F.col("_loc.longitude").isNotNull()
     return (
-        requests.withColumn("_loc", F.explode_outer(located))
+        requests.withColumn("_locations", located)
+        .select("*", F.posexplode_outer("_locations").alias("_at", "_loc"))
         .withColumn("_experience", F.explode(levels))
         .withColumn("_radius_m", F.when(geo, radius * 1000.0))
+        .withColumn("_earlier", F.slice("_locations", 1, F.coalesce("_at", F.lit(0))))
         .withColumn(
             "_country",
             F.coalesce(country_name(F.nullif(F.col("_loc.country"), F.lit(""))), F.lit("*")),
@@ -128,6 +138,19 @@ def _alternatives(requests: DataFrame) -> DataFrame:
     )
 
 
+def _satisfies(loc: Column) -> Column:
+    """Whether the job of a joined row satisfies one location of its request."""
+    country, city = country_name(F.nullif(loc["country"], F.lit(""))), F.nullif(loc["city"], F.lit(""))
+    metres = F.coalesce(loc["radius_km"], F.lit(fv.DEFAULT_RADIUS_KM)) * 1000.0
+    away = geo_distance(loc["latitude"], loc["longitude"], F.col("latitude"), F.col("longitude"))
+    remote = F.col("city") == fv.REMOTE_CITY
+    place = (
+        F.when(loc["latitude"].isNotNull() & loc["longitude"].isNotNull(), remote | (away <= metres))
+        .when(city.isNotNull(), remote | (F.col("city") == city)).otherwise(F.lit(True))
+    )
+    return F.coalesce((country.isNull() | (F.col("country") == country)) & place, F.lit(False))
+
+
 def _place_keys(geo_level: Column) -> Column:
     """Keys under which a request alternative looks places up."""
     remote = F.lit(f"c:{fv.REMOTE_CITY}")
@@ -144,6 +167,39 @@ def _place_keys(geo_level: Column) -> Column:
     )
 
 
+_ANY_FIELD = -1
+
+
+def _with_field_keys(
+    asked: DataFrame, jobs: DataFrame, bridge: DataFrame | None, job_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """Request rows per wanted field (or 'any'), and jobs with the wanted ones of their fields.
+
+    Only links to fields somebody asks for are folded, so a job's list stays short.
+    """
+    if bridge is None:
+        none = F.array().cast("array<bigint>")
+        return (
+            asked.withColumn("_fields", none).withColumn("_field", F.lit(_ANY_FIELD).cast("bigint")),
+            jobs.withColumn("_job_fields", none),
+        )
+    wanted = asked.select(F.explode("_fields").alias("field_id")).distinct()
+    linked = (
+        bridge.select(job_id, F.col("field_id").cast("bigint").alias("field_id"))
+        .join(wanted, "field_id", "left_semi")
+        .groupBy(job_id).agg(F.collect_set("field_id").alias("_job_fields"))
+    )
+    per_field = F.when(F.size("_fields") > 0, F.col("_fields")).otherwise(
+        F.array(F.lit(_ANY_FIELD).cast("bigint"))
+    )
+    return (
+        asked.select("*", F.explode(per_field).alias("_field")),
+        jobs.join(linked, job_id, "left").withColumn(
+            "_job_fields", F.coalesce("_job_fields", F.array().cast("array<bigint>"))
+        ),
+    )
+
+
 def eligible_pairs(
     requests: DataFrame, jobs: DataFrame, bridge: DataFrame | None = None,
     keep: Sequence[str] = (), salts: int = DEFAULT_SALTS,
@@ -154,19 +210,23 @@ def eligible_pairs(
     Requests carry ``locations, keywords, experience, company, is_remote_only, fields``; jobs
     carry ``title, description, experience, company_name, city, country, latitude,
     longitude``. Country, experience and place (city, grid cell or 'any') become one equality
-    join with wildcards; free text is checked on the joined rows. Many requests with the same
-    filters should be one row here (see ``match_request_key``). ``keep`` names job columns to
-    carry along.
+    join with wildcards; free text is checked on the joined rows, and the pairs need no further
+    shuffle. Many requests with the same filters should be one row here (see
+    ``match_request_key``). ``keep`` names job columns to carry along.
     """
     ways = _alternatives(requests)
     levels = levels_in_use(ways.where(F.col("_radius_m").isNotNull()), F.col("_radius_m")).scalar()
     asked = ways.withColumn("_place", F.explode(_place_keys(radius_level(F.col("_radius_m"))))).select(
-        request_id, "_country", "_experience", "_place", "_radius_m",
+        request_id, "_country", "_experience", "_place", "_radius_m", "_earlier",
+        F.coalesce(F.array_distinct(F.col("fields").cast("array<bigint>")), F.array().cast("array<bigint>"))
+        .alias("_fields"),
         F.col("_loc.latitude").alias("_lat"), F.col("_loc.longitude").alias("_lon"),
         F.trim(F.get("keywords", F.lit(0))).alias("_phrase"),
         F.nullif(F.col("company"), F.lit("")).alias("_company"),
         F.coalesce("is_remote_only", F.lit(False)).alias("_remote"),
-    )
+    ).withColumns({
+        "_plain_phrase": _plain(F.col("_phrase")), "_plain_company": _plain(F.col("_company")),
+    })
     job_cells = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
         F.transform(
@@ -176,35 +236,45 @@ def eligible_pairs(
             ),
         ),
     )
+    asked, keyed_jobs = _with_field_keys(asked, jobs, bridge, job_id)
     read = ["title", "description", "experience", "company_name", "city", "country", "latitude", "longitude"]
     keyed = (
-        jobs.select(job_id, *read, *keep, levels.alias("_levels"))
+        keyed_jobs.select(job_id, *read, *keep, "_job_fields", levels.alias("_levels"))
         .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))).alias("_country"))
         .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("experience")))).alias("_experience"))
         .select("*", F.explode(F.concat(
             F.array_compact(F.array(F.lit("*"), F.concat(F.lit("c:"), F.col("city")))),
             F.coalesce(job_cells, F.array().cast("array<string>")),
         )).alias("_place"))
+        .select("*", F.explode(F.concat(F.array(F.lit(_ANY_FIELD)), "_job_fields")).alias("_field"))
     )
-    keys = ["_country", "_experience", "_place"]
+    keys = ["_country", "_experience", "_place", "_field"]
     keyed = keyed.join(asked.select(*keys).distinct(), keys, "left_semi")
     away = geo_distance(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
-    near = ~F.col("_place").startswith("g:") | F.coalesce(away <= F.col("_radius_m"), F.lit(False))
-    text = F.col("_phrase").isNull() | phrase_matches(
-        F.col("title"), F.col("description"), F.col("_phrase")
+    # remote jobs are found under their city, so a cell never finds them a second time
+    settled = F.coalesce(F.col("city") != fv.REMOTE_CITY, F.lit(True))
+    near = ~F.col("_place").startswith("g:") | (
+        settled & F.coalesce(away <= F.col("_radius_m"), F.lit(False))
     )
-    company = F.col("_company").isNull() | company_matches(F.col("company_name"), F.col("_company"))
-    remote = ~F.col("_remote") | is_remote(F.col("city"))
-    pairs = salted_join(
-        keyed, asked, keys, salts=salts, extra=near & text & company & remote, spread_by=[job_id]
-    ).select(request_id, job_id, *keep).dropDuplicates([request_id, job_id])
-    if bridge is None:
-        return pairs
-    wanted = requests.select(request_id, F.explode("fields").alias("field_id"))
-    linked = salted_join(bridge, wanted, ["field_id"]).select(request_id, job_id).distinct()
-    filtered = requests.where(F.coalesce(F.size("fields"), F.lit(0)) > 0).select(request_id)
-    open_pairs = pairs.join(filtered, request_id, "left_anti")
-    closed_pairs = pairs.join(filtered, request_id, "left_semi").join(
-        linked, [request_id, job_id], "left_semi"
+    # a pair counts for the first location it satisfies: no pair is found twice
+    first = (F.size("_earlier") <= 0) | ~F.exists("_earlier", _satisfies)
+    common = F.get(F.array_intersect("_fields", "_job_fields"), F.lit(0))
+    first_field = (F.col("_field") == _ANY_FIELD) | (F.col("_field") == common)
+    text = (
+        F.when(F.col("_phrase").isNull(), F.lit(True))
+        .when(F.col("_plain_phrase").isNotNull(),
+              F.coalesce(F.lower("title").contains(F.col("_plain_phrase")), F.lit(False))
+              | F.coalesce(F.lower("description").contains(F.col("_plain_phrase")), F.lit(False)))
+        .otherwise(phrase_matches(F.col("title"), F.col("description"), F.col("_phrase")))
+    )
+    company = (
+        F.when(F.col("_company").isNull(), F.lit(True))
+        .when(F.col("_plain_company").isNotNull(),
+              F.coalesce(F.lower("company_name") == F.col("_plain_company"), F.lit(False)))
+        .otherwise(company_matches(F.col("company_name"), F.col("_company")))
     )
-    return open_pairs.unionByName(closed_pairs)
+    remote = ~F.col("_remote") | is_remote(F.col("city"))
+    return salted_join(
+        keyed, asked, keys, salts=salts,
+        extra=remote & company & near & text & first & first_field, spread_by=[job_id],
+    ).select(request_id, job_id, *keep)

@@ -14,6 +14,7 @@ from pairwright import fixed_values as fv
 from pairwright.functions.text import tokenize_bm25
 from pairwright.operators import blocks
 from pairwright.operators.skew import salted_join
+from pairwright.session import cut_lineage
 
 
 def term_counts(
@@ -29,12 +30,13 @@ def term_counts(
     )
 
 
-def corpus_size(
-    docs: DataFrame, text: str = "text", stopwords: Sequence[str] = fv.STOPWORDS
-) -> DataFrame:
+def corpus_size(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """One row ``documents, mean_length``; texts without tokens count as length 0."""
-    length = F.size(tokenize_bm25(F.col(text), stopwords))
-    return docs.agg(F.count(F.lit(1)).alias("documents"), F.avg(length).alias("mean_length"))
+    documents = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return terms.agg(
+        documents.alias("documents"),
+        (F.coalesce(F.sum("tf"), F.lit(0)) / documents).alias("mean_length"),
+    )
 
 
 def bm25_corpus_stats(
@@ -43,7 +45,7 @@ def bm25_corpus_stats(
 ) -> DataFrame:
     """Document frequency and idf of every token: ``token, df, idf``."""
     counts = term_counts(docs, doc_id, text, stopwords) if terms is None else terms
-    total = corpus_size(docs, text, stopwords).select("documents").scalar()
+    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     frequency = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return frequency.withColumn(
         "idf", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -53,15 +55,28 @@ def bm25_corpus_stats(
 def bm25_index_table(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     k1: float = fv.BM25_K1, b: float = fv.BM25_B, stopwords: Sequence[str] = fv.STOPWORDS,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Search-ready rows ``doc_id, token, tf, doc_length, impact`` (the idf-free weight)."""
-    counts = term_counts(docs, doc_id, text, stopwords)
-    mean_length = corpus_size(docs, text, stopwords).select("mean_length").scalar()
+    counts = term_counts(docs, doc_id, text, stopwords) if terms is None else terms
+    mean_length = corpus_size(docs, counts).select("mean_length").scalar()
     tf = F.col("tf")
     scaled = tf + k1 * (1 - b + b * F.col("doc_length") / mean_length)
     return counts.withColumn("impact", tf * (k1 + 1) / scaled)
 
 
+def build_index(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = fv.BM25_K1,
+    b: float = fv.BM25_B, stopwords: Sequence[str] = fv.STOPWORDS,
+) -> tuple[DataFrame, DataFrame]:
+    """(index, stats) of a corpus; texts are tokenised once and the counts written once."""
+    counts = cut_lineage(term_counts(docs, doc_id, text, stopwords))
+    return (
+        bm25_index_table(docs, doc_id, text, k1, b, stopwords, counts),
+        bm25_corpus_stats(docs, doc_id, text, stopwords, counts),
+    )
+
+
 def query_terms(
     queries: DataFrame, stats: DataFrame, query_id: str = "query_id", text: str = "text",
     stopwords: Sequence[str] = fv.STOPWORDS,
@@ -147,8 +162,8 @@ def bm25_search(
     block with their whole term lists, so a token that sits in most documents costs one
     vector addition per query and block and is never joined pair by pair.
     """
-    index = bm25_index_table(docs, doc_id, doc_text, k1, b, stopwords) if index is None else index
-    stats = bm25_corpus_stats(docs, doc_id, doc_text, stopwords) if stats is None else stats
+    if index is None or stats is None:
+        index, stats = build_index(docs, doc_id, doc_text, k1, b, stopwords)
     terms = query_terms(queries, stats, query_id, query_text, stopwords)
     return blocks.blocked_top_k(
         terms, index.select(doc_id, "token", "impact"), bm25_kernel(k, query_id, doc_id, score), k,
