@@ -6,83 +6,61 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairwright import fixed_values as fv
 
 
-class FreshMatches(StatefulProcessor):
-    """Remembers the last result time per request; the entry dies with its time to live."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl_seconds = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "created long", ttlDurationMs=self.ttl_seconds * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            last = self.stored.get()[0] if self.stored.exists() else None
+def match_freshness_stream(requests: DataFrame, ttl_seconds: int = fv.MATCH_TTL_SECONDS) -> DataFrame:
+    """Whether each request (``request_key, created`` in ms) finds a result that is still valid.
+
+    The state holds one time per request key and dies with the time to live.
+    """
+    ttl = ttl_seconds * 1000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for frame in frames:
             out = []
-            for moment in sorted(frame["created"].tolist()):
-                hit = last is not None and moment - last <= self.ttl_seconds * 1000
-                if not hit:
-                    last = moment
-                out.append((key[0], moment, hit))
-            self.stored.update((last,))
+            for moment in sorted(int(m) for m in frame["created"]):
+                reused = last is not None and moment - last <= ttl
+                last = last if reused else moment
+                out.append((key[0], moment, reused))
             yield pd.DataFrame(out, columns=["request_key", "created", "reused"])
+        state.update((last,))
+        state.setTimeoutDuration(ttl)
 
-    def close(self) -> None:
-        pass
-
-
-def match_freshness_stream(requests: DataFrame, ttl_seconds: int = fv.MATCH_TTL_SECONDS) -> DataFrame:
-    """Whether each request (``request_key, created`` in ms) finds a result that is still valid."""
-    return requests.groupBy("request_key").transformWithStateInPandas(
-        statefulProcessor=FreshMatches(ttl_seconds),
-        outputStructType="request_key string, created long, reused boolean",
-        outputMode="Append", timeMode="ProcessingTime",
+    return requests.groupBy("request_key").applyInPandasWithState(
+        step, "request_key string, created long, reused boolean", "created long",
+        "append", GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-class TaskStatus(StatefulProcessor):
-    """Latest status and last known result per task; a timer expires old tasks."""
-
-    def __init__(self, expiry_seconds: int):
-        self.expiry_ms = expiry_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.task = handle.getValueState("task", "status string, result string, created long, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, result, created, seq = self.task.get() if self.task.exists() else (None, None, None, -1)
-        for frame in rows:
-            for row in frame.sort_values("seq").itertuples():
-                if row.seq <= seq:
-                    continue
-                if created is None:
-                    created = int(row.created)
-                    self.handle.registerTimer(created + self.expiry_ms)
-                status, seq = row.status, int(row.seq)
-                result = result if row.result is None else row.result
-        self.task.update((status, result, created, seq))
+def task_status_stream(updates: DataFrame, expiry_seconds: int = fv.TASK_EXPIRY_SECONDS) -> DataFrame:
+    """Status changes per task (``task_id, status, result, created`` ms, ``seq``).
+
+    The last known result is kept; a task without news for the expiry is reported expired.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, result, seq = state.get if state.exists else (None, None, -1)
+        if state.hasTimedOut:
+            state.remove()
+            status = "expired"
+        else:
+            for frame in frames:
+                for row in frame.sort_values("seq").itertuples():
+                    result = result if row.result is None else row.result
+                    if row.seq > seq:
+                        status, seq = row.status, int(row.seq)
+            state.update((status, result, seq))
+            state.setTimeoutDuration(expiry_seconds * 1000)
         yield pd.DataFrame([(key[0], status, result)], columns=["task_id", "status", "result"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.task.exists():
-            _, result, created, seq = self.task.get()
-            self.task.update(("expired", result, created, seq))
-            yield pd.DataFrame([(key[0], "expired", result)], columns=["task_id", "status", "result"])
-
-    def close(self) -> None:
-        pass
-
-
-def task_status_stream(updates: DataFrame, expiry_seconds: int = fv.TASK_EXPIRY_SECONDS) -> DataFrame:
-    """Status changes per task (``task_id, status, result, created`` ms, ``seq``)."""
-    return updates.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskStatus(expiry_seconds),
-        outputStructType="task_id string, status string, result string",
-        outputMode="Update", timeMode="ProcessingTime",
+    return updates.groupBy("task_id").applyInPandasWithState(
+        step, "task_id string, status string, result string", "status string, result string, seq long",
+        "update", GroupStateTimeout.ProcessingTimeTimeout,
     )

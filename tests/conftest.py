@@ -7,12 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pairwright.session import local_session  # noqa: E402
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8", **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+    session = local_session("tests", "8")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

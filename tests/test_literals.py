@@ -217,5 +217,5 @@ def test_skill_mentions(spark):
     assert got["python"]["aliases"] == ["python", "PYTHON3"]
     assert got["nodejs"]["name"] == "node.js" and got["gcp"]["end_pos"] == text_.index("Google Cloud") + 12
     # a listed item takes the first known name inside it, here the one-letter language
-    assert (got["r"]["name"], got["r"]["confidence"], got["r"]["start_pos"]) == ("teamwork", 0.8, -1)
+    assert (got["r"]["name"], got["r"]["confidence"], got["r"]["start_pos"]) == ("kubernetes", 0.8, -1)
     assert got["cpp"]["name"] == "C" and got["kubernetes"]["confidence"] == 0.95
