@@ -39,6 +39,5 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_names_and_entry(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert not any("pipeline" in name or name.startswith("op") and name[2:3].isdigit() for name in queries())
     if os.path.isdir(FOLDER):
         assert entry(spark).limit(1).count() == 1
