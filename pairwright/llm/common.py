@@ -57,3 +57,8 @@ def exploded_shingles(df: DataFrame, words: str, width: int, keep: list[str], ha
 def same(left: Column, right: Column) -> Column:
     """Equality that also holds between two nulls."""
     return left.eqNullSafe(right)
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Limit an Arrow batch by its bytes, so that a run of very long texts does not fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contained_items
 from pairwright.llm.lines import remove_boilerplate
+from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.shards import shard_by_bytes
 from pairwright.session import ship_package
 
@@ -66,3 +67,22 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_byte_shards")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_near_duplicates", rf"""
+WITH RECURSIVE
+     t AS (SELECT md5(coalesce(text, '')) AS d, min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY 1),
+     w AS (SELECT d, {_WORDS} AS w FROM t),
+     g AS (SELECT d, run, count(*) AS c FROM (
+             SELECT d, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS run
+             FROM (SELECT d, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)) GROUP BY ALL),
+     n AS (SELECT d, sum(c) AS n FROM g GROUP BY d),
+     s AS (SELECT a.d AS x, b.d AS y, sum(least(a.c, b.c)) AS o FROM g a JOIN g b ON a.run = b.run AND a.d < b.d GROUP BY ALL),
+     e AS (SELECT x, y FROM s JOIN n p ON p.d = x JOIN n q ON q.d = y WHERE o / (p.n + q.n - o) >= 0.8),
+     ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+     r AS (SELECT d AS x, d AS y FROM t UNION SELECT r.x, ways.y FROM r JOIN ways ON ways.x = r.y),
+     k AS (SELECT r.x AS d, min(t.doc_id) AS class_id FROM r JOIN t ON t.d = r.y GROUP BY r.x)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM documents JOIN k ON k.d = md5(coalesce(text, ''))
+""")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
