@@ -168,9 +168,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str
             two = bodies.toDF("b", "b_text")
             met = ordered.join(one, "a").join(two, "b")
             met = met.select("a", "b", words_of(F.col("a_text")).alias("v"), words_of(F.col("b_text")).alias("w"))
-            links = stored(
-                met.select("a", "b", overlap(_bag("v"), _bag("w")).alias("similarity"))
-                .where(F.col("similarity") >= threshold).select("a", "b"), "verified")
+            # Filtered only after it is written: Spark would push the filter down and inline the words per shingle.
+            compared = stored(met.select("a", "b", overlap(_bag("v"), _bag("w")).alias("similarity")), "compared")
+            links = compared.where(F.col("similarity") >= threshold).select("a", "b")
             named = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
             other = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
             joined = links.join(named, "a").join(other, "b").where(F.col("x") != F.col("y"))
