@@ -10,9 +10,12 @@ from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contained_items
 from pairwright.llm.lines import remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
+from pairwright.llm.packing import pack
 from pairwright.llm.shards import shard_by_bytes
 from pairwright.session import ship_package
 
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +89,15 @@ SELECT doc_id, class_id, doc_id = class_id AS kept FROM documents JOIN k ON k.d
 """)
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizers package keeps the packing vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@_query("op10_best_two_fit")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
