@@ -62,3 +62,11 @@ def same(left: Column, right: Column) -> Column:
 def bound_batches(spark: SparkSession, size: str = "16m") -> None:
     """Limit an Arrow batch by its bytes, so that a run of very long texts does not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once a row.
+
+    A lambda variable, unlike a named column, stays computed once when Spark pushes a filter over it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,6 +11,7 @@ from pairwright.llm.decontaminate import contained_items
 from pairwright.llm.lines import remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
+from pairwright.llm.rules import GRID, LEVEL, RISK, rule_report
 from pairwright.llm.shards import shard_by_bytes
 from pairwright.session import ship_package
 
@@ -101,3 +102,49 @@ def tokenizer_path() -> str:
 @_query("op10_best_two_fit")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+_CUTS = ", ".join(f"('{rule}', {step}, {cut}::DOUBLE)" for rule, cuts in GRID.items() for step, cut in enumerate(cuts))
+
+
+@_query("op4_risk_controlled_rules", rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+     g AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+     rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (
+               SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1), range(0, 8) AS o(k) GROUP BY r),
+     s AS (SELECT w.r, doc_id, lang AS stratum, len(w)::BIGINT AS n_words,
+                  coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines,
+                  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+           FROM w LEFT JOIN rep ON rep.r = w.r),
+     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                  CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_share,
+                  CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
+                  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+                  CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_share,
+                  CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share FROM s),
+     v AS (SELECT r, doc_id, stratum, base_failed, unnest({list(GRID)}) AS rule,
+                  unnest([{", ".join(GRID)}]) AS value FROM f),
+     c AS (SELECT * FROM (VALUES {_CUTS}) AS c(rule, step, cutoff)),
+     k AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS good,
+                  count(*) FILTER (quality = 1 AND value > cutoff) AS good_hit, count(*) FILTER (quality = 0) AS bad,
+                  count(*) FILTER (quality = 0 AND value > cutoff) AS bad_hit
+           FROM v JOIN labels USING (doc_id) JOIN c USING (rule) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL),
+     p AS (SELECT *, CASE WHEN good_hit >= good * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, good_hit + 1), lambda i:
+                  exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({RISK}) + (good - i) * ln({1 - RISK})))) END AS p
+           FROM k),
+     a AS (SELECT *, CASE WHEN bad > 0 THEN bad_hit / bad ELSE 0 END - good_hit / good AS gain FROM (
+             SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst FROM p)
+           WHERE worst <= {LEVEL} / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM k)) * {len(GRID)})),
+     b AS (SELECT * FROM a WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
+     z AS (SELECT v.r, bool_or(coalesce(value > cutoff, false)) AS hit
+           FROM v LEFT JOIN b ON b.rule = v.rule AND b.stratum IS NOT DISTINCT FROM v.stratum GROUP BY v.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT hit AS kept
+FROM f JOIN z USING (r)
+""")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
