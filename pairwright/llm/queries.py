@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contained_items
+from pairwright.llm.licenses import TEMPLATES, license_report
 from pairwright.llm.lines import remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
@@ -148,3 +149,36 @@ FROM f JOIN z USING (r)
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+
+
+def _license_words(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+@_query("op9_license_join", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT r, doc_id, {_license_words("text")} AS w FROM d),
+     p AS (SELECT r, i, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by'
+                             WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+                             WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label
+           FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+     b AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list_distinct(list(label)) AS labels
+           FROM p WHERE label IS NOT NULL GROUP BY r),
+     t AS (SELECT k, label, list_distinct({_license_words("statement")}) AS w FROM (VALUES {_TEMPLATES}) AS t(k, label, statement)),
+     tw AS (SELECT k, label, len(w) AS size, unnest(w) AS word FROM t),
+     l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+     lw AS (SELECT r, i, unnest(list_distinct({_license_words("line")})) AS word FROM l),
+     m AS (SELECT r, i, k, label, size, count(*) AS n FROM lw JOIN tw USING (word) GROUP BY ALL HAVING count(*) * 100 >= size * 80),
+     o AS (SELECT r, list_distinct(list(label)) AS own, max(n / size) AS best FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
+       array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(own, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0) END AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN o USING (r)
+""")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
