@@ -12,8 +12,10 @@ from pairwright.llm.licenses import TEMPLATES, license_report
 from pairwright.llm.lines import remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
+from pairwright.llm.quality import fit_quality, quality_scores
 from pairwright.llm.rules import GRID, LEVEL, RISK, rule_report
 from pairwright.llm.shards import shard_by_bytes
+from pairwright.llm.toxicity import fit_toxicity, toxicity_scores
 from pairwright.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -182,3 +184,15 @@ FROM w LEFT JOIN b USING (r) LEFT JOIN o USING (r)
 """)
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_compression_quality")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op3_counterfactual_toxicity")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
