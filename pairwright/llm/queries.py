@@ -12,6 +12,7 @@ from pairwright.llm.licenses import TEMPLATES, license_report
 from pairwright.llm.lines import remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
+from pairwright.llm.pii import find_personal_data
 from pairwright.llm.quality import fit_quality, quality_scores
 from pairwright.llm.rules import GRID, LEVEL, RISK, rule_report
 from pairwright.llm.shards import shard_by_bytes
@@ -196,3 +197,8 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op5_contextual_personal_data")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
