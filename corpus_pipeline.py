@@ -1,4 +1,4 @@
-"""The corpus pipeline: five of the corpus operators, one after the other."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
 
 from __future__ import annotations
 
@@ -10,28 +10,53 @@ from pyspark.sql import functions as F
 from pairwright.llm.common import stored, table
 from pairwright.llm.decontaminate import decontaminate
 from pairwright.llm.lines import remove_boilerplate
+from pairwright.llm.neardup import drop_near_duplicates
+from pairwright.llm.packing import pack
+from pairwright.llm.queries import tokenizer_path
+from pairwright.llm.rules import keep_good
 from pairwright.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and every risk-controlled rule accept."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines; ``n_chars`` follows the text."""
     return remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ship_package(spark)
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    ship_package(spark)
+    return pack(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("benchmark decontamination", decontaminated),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table; each result is written to the shared folder and read again."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
