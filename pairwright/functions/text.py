@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,3 +130,30 @@ def tokenize_bm25(text: Column, stopwords: Sequence[str] = fv.STOPWORDS) -> Colu
         tokens, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords) if stopwords else F.length(t) > 1
     )
     return F.coalesce(kept, F.array().cast("array<string>"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of an array by doubling: n log n steps, however many entries."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(2)).cast("double"))).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(1), rounds), numbers,
+        lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(
+            F.get(sums, i - F.pow(F.lit(2), k - 1).cast("int")), F.lit(0))))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Structs (start_pos, end_pos, found) of the non-overlapping matches, from 0, end exclusive."""
+    none = F.array().cast("array<struct<start_pos:int,end_pos:int,found:string>>")
+
+    def placed(found: Column, pieces: Column) -> Column:
+        lengths = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+        return let(running_sums(lengths), lambda ends: F.transform(found, lambda m, i: F.struct(
+            (F.get(ends, i) - F.length(m)).alias("start_pos"), F.get(ends, i).alias("end_pos"), m.alias("found"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(
+        F.size(found) > 0, let(F.split(text, pattern, -1), lambda pieces: placed(found, pieces))).otherwise(none))
