@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright import fixed_values as fv
@@ -13,6 +13,7 @@ from pairwright.operators.joins import exclusion_union
 from pairwright.operators.paging import (
     cut_page, fallback_fill, in_windows, page_windows, score_threshold, sort_key, sort_within,
 )
+from pairwright.operators.skew import top_k
 from pairwright.operators.vectors import vector_topk_join
 from pairwright.session import cut_lineage
 
@@ -65,6 +66,37 @@ def ranked_matches(
     return found.withColumn("score", score_to_percentage(F.col("distance")))
 
 
+def search_by_date_requests(
+    requests: DataFrame, jobs: DataFrame, applied: DataFrame, rejected: DataFrame, cooled: DataFrame,
+    bridge: DataFrame | None = None, page_rows: int = fv.PAGE_ROWS,
+) -> DataFrame:
+    """``request_id, job_id, posted_date, rank``: the page of every request by date, for requests without a vector.
+
+    The request's filters and exclusions act first; then jobs are newest first, unknown dates before all,
+    ties by id, and the page holds the ranks offset + 1 to offset + ``page_rows``. Requests with equal filters share
+    their newest jobs, of which only as many are kept as the deepest page and the exclusions can use.
+    """
+    pairs, cold = excluded_pairs(requests, applied, rejected, cooled)
+    pairs = pairs.distinct()
+    lost = pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("_lost"))
+    signed = requests.withColumn("signature", filter_signature()).join(lost, "request_id", "left").withColumn(
+        "_need", F.col("offset") + page_rows + F.coalesce("_lost", F.lit(0)))
+    deepest = signed.agg(F.max("_need")).first()[0] or 0
+    forms = signed.groupBy("signature").agg(
+        F.first(F.struct(*FILTER_COLUMNS), ignorenulls=False).alias("_f")).select("signature", "_f.*")
+    live = jobs.join(cold, "job_id", "left_anti")
+    newest = [F.col("posted_date").desc_nulls_first(), F.col("job_id").asc()]
+    members = top_k(
+        eligible_pairs(forms, live, bridge, keep=("posted_date",), request_id="signature"), ["signature"], newest,
+        int(deepest), "_at")
+    asked = signed.select("request_id", "signature", "offset", "_need")
+    own = members.join(asked, "signature").where(F.col("_at") <= F.col("_need")).join(
+        pairs, ["request_id", "job_id"], "left_anti")
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("_at")))
+    return ranked.where((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + page_rows)).select(
+        "request_id", "job_id", "posted_date", "rank")
+
+
 def ranks_needed(requests: DataFrame) -> int:
     """Deepest rank any page of the request table can show."""
     last = F.array_max(page_windows(F.col("offset")))
@@ -90,8 +122,11 @@ def match_user_jobs(
     Requests hold ``request_id, user_id, request_vector``, the filter columns, ``sort_type``
     and ``offset``; jobs hold ``job_id, job_vector, posted_date`` and what the filters read.
     Returns ``request_id, position, job_id, distance, score, rank, tier, total_count`` and the
-    field sets when a field table is given.
+    field sets when a field table is given. Requests without a vector get their filtered page by date,
+    without distance and score.
     """
+    every = requests
+    requests = every.where(F.col("request_vector").isNotNull())
     # the ranked table is read by several branches below: search once, write once
     ranked = cut_lineage(ranked_matches(
         requests, jobs, applied, rejected, cooled, bridge, k=ranks_needed(requests)
@@ -119,4 +154,11 @@ def match_user_jobs(
     page = cut_page(filled).select(
         "request_id", "position", "job_id", "distance", "score", "rank", "tier", "total_count"
     )
+    guests = every.where(F.col("request_vector").isNull())
+    if not guests.isEmpty():
+        dated = search_by_date_requests(guests, jobs, applied, rejected, cooled, bridge)
+        page = page.unionByName(dated.select(
+            "request_id", F.col("rank").alias("position"), "job_id", F.lit(None).cast("double").alias("distance"),
+            F.lit(None).cast("double").alias("score"), "rank", F.lit(0).alias("tier"),
+            F.lit(fv.CONSTANT_TOTAL).alias("total_count")))
     return page if fields is None else fold_job_fields(page, bridge, fields)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright import fixed_values as fv
 from pairwright.functions.scores import duration_category, query_duration_category
+from pairwright.functions.text import let
 
 
 def timed(events: DataFrame, time: str, watermark: str) -> DataFrame:
@@ -37,19 +38,18 @@ def parse_statsd(lines: DataFrame, value: str = "value") -> DataFrame:
     extra = F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
     rates = F.filter(
         F.transform(F.filter(extra, lambda p: p.startswith("@")),
-                    lambda p: F.substring(p, 2, 1000).try_cast("double")),
+                    lambda p: F.substring(p, F.lit(2), F.length(p)).try_cast("double")),
         lambda r: r.isNotNull(),
     )
     pairs = F.flatten(F.transform(
         F.filter(extra, lambda p: p.startswith("#")),
-        lambda p: F.split(F.substring(p, 2, 1_000_000), ","),
+        lambda p: F.split(F.substring(p, F.lit(2), F.length(p)), ","),
     ))
     good = F.filter(F.transform(pairs, lambda p: F.split(p, ":")), lambda kv: F.size(kv) == 2)
     # a repeated tag keeps its last value
-    keys = F.array_distinct(F.transform(good, lambda kv: kv[0]))
-    tags = F.map_from_entries(F.transform(keys, lambda k: F.struct(
-        k, F.element_at(F.filter(good, lambda kv: kv[0] == k), -1)[1]
-    )))
+    tags = let(good, lambda found: F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(found, lambda kv: kv[0])),
+        lambda k: F.struct(k, F.element_at(F.filter(found, lambda kv: kv[0] == k), -1)[1]))))
     parsed = lines.withColumns({
         "name": name, "metric_value": number, "type": kind,
         "sample_rate": F.coalesce(F.try_element_at(rates, F.lit(-1)), F.lit(1.0)), "tags": tags,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.vectors import cosine_similarity as cosine
 from pairwright.operators import ranking, vectors
 from pairwright.operators.skills import skill_graph_scores as overlap
-from pairwright.plans.match import match_user_jobs, ranked_matches
+from pairwright.plans.match import match_user_jobs, ranked_matches, search_by_date_requests
 from pairwright.plans.retrieval import multi_stage_matches
 from pairwright.session import scratch_path
 from pairwright.workload import tables as t
@@ -60,7 +60,7 @@ def _(spark, sf):
 
 # --- flagship ------------------------------------------------------------------------------
 def match_requests(spark, sf):
-    """Every vector asks as a user: a third by country, a third by level, a third unfiltered."""
+    """Every vector asks as a user: a third by country, a third by level, a third unfiltered; a few come without a vector."""
     key = F.col("vec_id")
     nothing = F.lit(None).cast("string")
     region = F.element_at(F.array(*[F.lit(r) for r in ("AFRICA", "USA", "ASIA", "EUROPE", "MIDDLE EAST")]), (key % 5 + 1).cast("int"))
@@ -68,7 +68,7 @@ def match_requests(spark, sf):
         region.alias("country"), nothing.alias("city"), F.lit(None).cast("double").alias("latitude"),
         F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("radius_km")))
     return t.table(spark, sf, "embeddings").select(
-        key.alias("request_id"), (key % 150).alias("user_id"), F.col("embedding").alias("request_vector"),
+        key.alias("request_id"), (key % 150).alias("user_id"), F.when(key % 37 != 5, F.col("embedding")).alias("request_vector"),
         F.when(key % 3 == 0, loc).alias("locations"), F.lit(None).cast("array<string>").alias("keywords"),
         F.when(key % 3 == 1, F.array(F.lit("Senior-level"), F.lit("Mid-level"))).alias("experience"),
         nothing.alias("company"), F.lit(False).alias("is_remote_only"),
@@ -92,12 +92,14 @@ MATCH = f"""
 {t.STAR},
 req AS (SELECT vec_id AS request_id, vec_id % 150 AS user_id, embedding,
   CASE WHEN vec_id % 3 = 0 THEN ['AFRICA', 'United States', 'ASIA', 'EUROPE', 'MIDDLE EAST'][vec_id % 5 + 1] END AS want,
-  vec_id % 3 = 1 AS lev, ['recommended', 'date', 'matching_score'][vec_id % 3 + 1] AS sort_type, CASE WHEN vec_id % 4 = 0 THEN 25 ELSE 0 END AS off FROM embeddings),
+  vec_id % 3 = 1 AS lev, ['recommended', 'date', 'matching_score'][vec_id % 3 + 1] AS sort_type, CASE WHEN vec_id % 4 = 0 THEN 25 ELSE 0 END AS off, vec_id % 37 = 5 AS guest FROM embeddings),
 live AS (SELECT f.*, embedding FROM flat f JOIN embeddings ON vec_id = job_id WHERE job_id NOT IN (SELECT event_id % 500 FROM events WHERE event_type = 'view' AND value > 280)),
 gone AS (SELECT DISTINCT user_id, event_id % 500 AS job_id FROM events WHERE event_type IN ('error', 'signup')),
-scored AS (SELECT a.request_id, a.sort_type, a.off, b.job_id, b.posted_date AS posted, round(1 - {PAIR}, 9) AS d,
+met AS (SELECT a.request_id, a.sort_type, a.off, a.guest, b.job_id, b.posted_date AS posted, round(1 - {PAIR}, 9) AS d,
   coalesce((want IS NULL OR b.country = want) AND (NOT lev OR b.experience IN ('Senior-level', 'Mid-level')), false) AS ok
   FROM req a CROSS JOIN live b WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = a.user_id AND g.job_id = b.job_id)),
+scored AS (SELECT * FROM met WHERE NOT guest),
+dated AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY posted DESC NULLS FIRST, job_id) AS rank FROM met WHERE guest AND ok),
 fil AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY d, job_id) AS rank, 0 AS tier FROM scored WHERE ok),
 unf AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY d, job_id) AS rank, 1 AS tier FROM scored)
 """
@@ -113,13 +115,22 @@ MATCH_KEY = f"""CASE sort_type WHEN 'date' THEN {DATE_KEY.format(score='score',
   sorted AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, {MATCH_KEY} DESC, rank, job_id) AS position FROM calibrated)
   SELECT s.request_id, position, job_id, round(d, 6) AS distance, score, rank, tier,
   CASE WHEN coalesce(n, 0) < 1000 THEN 1000 ELSE 2000 END AS total_count FROM sorted s LEFT JOIN counts c ON c.request_id = s.request_id
-  WHERE position > off AND position <= off + 25""")
+  WHERE position > off AND position <= off + 25
+  UNION ALL SELECT request_id, rank, job_id, NULL, NULL, rank, 0, 2000 FROM dated WHERE rank > off AND rank <= off + 25""")
 def _(spark, sf):
     page = match_user_jobs(
         match_requests(spark, sf), match_jobs(spark, sf), *match_exclusions(spark, sf), t.as_of())
     return page.withColumn("distance", F.round("distance", 6))
 
 
+@query("search_by_date_requests", f"""WITH {MATCH.replace("vec_id % 37 = 5 AS guest", "true AS guest")} SELECT request_id, job_id, strftime(posted, '%Y-%m-%d') AS posted, rank
+  FROM dated WHERE rank > off AND rank <= off + 25""")
+def _(spark, sf):
+    """All requests answered by date."""
+    found = search_by_date_requests(match_requests(spark, sf), match_jobs(spark, sf), *match_exclusions(spark, sf))
+    return found.select("request_id", "job_id", F.date_format("posted_date", "yyyy-MM-dd").alias("posted"), "rank")
+
+
 @query("match_user_jobs_filtered", f"""WITH {MATCH} SELECT request_id, job_id, round(d, 6) AS distance, {SIGMOID_SQL.format(d='d')} AS score, rank FROM fil WHERE rank <= 50""")
 def _(spark, sf):
     """The ranked candidates before sorting and paging."""
