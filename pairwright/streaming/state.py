@@ -1,4 +1,8 @@
-"""Keyed streaming state with expiry: match freshness and task status."""
+"""Keyed streaming state that expires by event time: match freshness and task status.
+
+Inputs carry a watermark (``withWatermark``) on their event time. Nothing depends on when a batch
+happens to run, so a replay gives the same rows.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pairwright import fixed_values as fv
 
 
+def _wake(state: GroupState, moment: int) -> None:
+    """Set the timer to ``moment`` (ms); a moment that the watermark has passed fires with the next batch."""
+    state.setTimeoutTimestamp(max(moment, state.getCurrentWatermarkMs() + 1))
+
+
 def match_freshness_stream(requests: DataFrame, ttl_seconds: int = fv.MATCH_TTL_SECONDS) -> DataFrame:
     """Whether each request (``request_key, created`` in ms) finds a result that is still valid.
 
-    The state holds one time per request key and dies with the time to live.
+    The state holds the time of the last result of a request key. It goes when the watermark passes the end
+    of its validity, as no later request can then reuse it. All rows of a key in one batch are judged
+    in the order of their times.
     """
     ttl = ttl_seconds * 1000
 
@@ -23,44 +34,51 @@ def match_freshness_stream(requests: DataFrame, ttl_seconds: int = fv.MATCH_TTL_
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            out = []
-            for moment in sorted(int(m) for m in frame["created"]):
-                reused = last is not None and moment - last <= ttl
-                last = last if reused else moment
-                out.append((key[0], moment, reused))
-            yield pd.DataFrame(out, columns=["request_key", "created", "reused"])
+        out = []
+        for moment in sorted(int(m) for frame in frames for m in frame["created"]):
+            reused = last is not None and moment - last <= ttl
+            last = last if reused else moment
+            out.append((key[0], moment, reused))
         state.update((last,))
-        state.setTimeoutDuration(ttl)
+        _wake(state, last + ttl + 1)
+        yield pd.DataFrame(out, columns=["request_key", "created", "reused"])
 
     return requests.groupBy("request_key").applyInPandasWithState(
         step, "request_key string, created long, reused boolean", "created long",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def task_status_stream(updates: DataFrame, expiry_seconds: int = fv.TASK_EXPIRY_SECONDS) -> DataFrame:
-    """Status changes per task (``task_id, status, result, created`` ms, ``seq``).
+    """Status changes per task (``task_id, status, result, created`` ms, ``seq``), with the ``seq`` of both.
 
-    The last known result is kept; a task without news for the expiry is reported expired.
+    Status and result are those with the highest ``seq`` each, whatever order rows arrive in. A task expires when
+    the watermark passes its first ``created`` plus the expiry, however often it reports; an update of a
+    task that old is reported expired too, also after its state is gone.
     """
+    expiry = expiry_seconds * 1000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, result, seq = state.get if state.exists else (None, None, -1)
-        if state.hasTimedOut:
-            state.remove()
-            status = "expired"
-        else:
+        status, seq, result, result_seq, created = state.get if state.exists else (None, -1, None, -1, None)
+        if not state.hasTimedOut:
             for frame in frames:
-                for row in frame.sort_values("seq").itertuples():
-                    result = result if row.result is None else row.result
+                for row in frame.itertuples():
+                    created = int(row.created) if created is None else min(created, int(row.created))
                     if row.seq > seq:
                         status, seq = row.status, int(row.seq)
-            state.update((status, result, seq))
-            state.setTimeoutDuration(expiry_seconds * 1000)
-        yield pd.DataFrame([(key[0], status, result)], columns=["task_id", "status", "result"])
+                    if row.result is not None and row.seq > result_seq:
+                        result, result_seq = row.result, int(row.seq)
+        if state.hasTimedOut or created + expiry < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            status = "expired"
+        else:
+            state.update((status, seq, result, result_seq, created))
+            _wake(state, created + expiry + 1)
+        yield pd.DataFrame([(key[0], status, result, seq, result_seq)], columns=["task_id", "status", "result", "seq", "result_seq"])
 
     return updates.groupBy("task_id").applyInPandasWithState(
-        step, "task_id string, status string, result string", "status string, result string, seq long",
-        "update", GroupStateTimeout.ProcessingTimeTimeout,
+        step, "task_id string, status string, result string, seq long, result_seq long",
+        "status string, seq long, result string, result_seq long, created long",
+        "update", GroupStateTimeout.EventTimeTimeout,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.operators.maintenance import match_freshness, task_latest_status
 from pairwright.session import scratch_path
 from pairwright.streaming import metrics
+from pairwright.streaming.state import task_status_stream
 from pairwright.workload import tables as t
 from pairwright.workload.registry import query
 from pairwright.workload.rollups import rounded
@@ -173,6 +174,33 @@ def _(spark, sf):
     return match_freshness(t.table(spark, sf, "events"), now, "ts").select("event_id")
 
 
+TASK_UPDATE = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END"
+
+
+@query("task_status_stream", f"""SELECT user_id::VARCHAR AS task_id, max_by({TASK_UPDATE}, event_id) AS status,
+  max_by(props, event_id) FILTER (event_type = 'purchase') AS result FROM events GROUP BY 1""")
+def _(spark, sf):
+    """The events as updates of their user's task, as a stream in several batches; no task gets old enough to expire."""
+    inbox, out = scratch_path(spark, "task-inbox"), scratch_path(spark, "task-status")
+    events = t.table(spark, sf, "events")
+    events.repartition(4, "event_id").write.parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    moment = F.col("ts").cast("timestamp")
+    updates = stream.select(
+        F.col("user_id").cast("string").alias("task_id"), F.expr(TASK_UPDATE).alias("status"),
+        F.when(F.col("event_type") == "purchase", F.col("props")).alias("result"),
+        F.unix_millis(moment).alias("created"), F.col("event_id").alias("seq"), moment.alias("at"),
+    ).withWatermark("at", "3650 days")
+    told = task_status_stream(updates, expiry_seconds=10 * 365 * 86400)
+    (
+        told.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out))
+        .option("checkpointLocation", scratch_path(spark, "task-state"))
+        .outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    )
+    stored = spark.read.schema(told.schema).parquet(out)
+    return stored.groupBy("task_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("result", "result_seq").alias("result"))
+
+
 @query("task_latest_status", """WITH u AS (SELECT user_id AS task_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN event_type = 'purchase' THEN props END AS result FROM events)
   SELECT task_id, CASE WHEN min(ts) < TIMESTAMP '2024-01-01 03:00:00' - INTERVAL 3600 SECOND THEN 'expired' ELSE max_by(status, seq) END AS status, max_by(result, CASE WHEN result IS NOT NULL THEN seq END) AS result FROM u GROUP BY 1""")

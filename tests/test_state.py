@@ -1,27 +1,48 @@
 """Keyed streaming state: reuse of fresh results, task status."""
 
+from pyspark.sql import functions as F
+
 from pairwright.streaming import state
 from tests.conftest import rows
 
+HOUR = 3_600_000
+
+
+def played(spark, tmp_path, batches, schema, make, time):
+    """The rows of each batch, one file a batch; ``time`` is the column of the watermark, in ms."""
+    for i, batch in enumerate(batches):
+        made = spark.createDataFrame(batch, schema).coalesce(1)
+        made.write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = make(stream.withColumn("at", F.timestamp_millis(time)).withWatermark("at", "0 seconds"))
+    found = []
+    query = (out.writeStream.foreachBatch(lambda df, _: found.append(sorted(rows(df), key=str)))
+             .option("checkpointLocation", f"{tmp_path}/state")
+             .outputMode("append" if "reused" in out.columns else "update").trigger(availableNow=True).start())
+    assert query.awaitTermination(120)
+    return found
+
 
 def test_fresh_results_are_reused(spark, tmp_path):
-    made = spark.createDataFrame([("a", 1000), ("a", 60_000), ("a", 400_000), ("b", 5)], "request_key string, created long")
-    made.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = state.match_freshness_stream(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"))
-    query = (out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
-             .outputMode("append").trigger(once=True).start())
-    assert query.awaitTermination(60)
-    got = sorted(rows(spark.read.schema(out.schema).parquet(f"{tmp_path}/out")))
-    assert got == [("a", 1000, False), ("a", 60_000, True), ("a", 400_000, False), ("b", 5, False)]
+    first = [("a", 400_000), ("a", 1000), ("a", 60_000), ("b", 5)]
+    later = [("a", 401_000), ("a", 1_200_000), ("c", 1_200_000)]
+    got = played(spark, tmp_path, [first, later], "request_key string, created long", state.match_freshness_stream, "created")
+    assert sorted(r for batch in got for r in batch) == [
+        ("a", 1000, False), ("a", 60_000, True), ("a", 400_000, False), ("a", 401_000, True), ("a", 1_200_000, False),
+        ("b", 5, False), ("c", 1_200_000, False)]
 
 
 def test_task_states(spark, tmp_path):
-    made = spark.createDataFrame(
-        [("t", "pending", None, 1, 1), ("t", "processing", "r1", 1, 2), ("t", "completed", None, 1, 3)],
-        "task_id string, status string, result string, created long, seq long")
-    made.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = state.task_status_stream(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"))
-    query = (out.writeStream.format("memory").queryName("task_rows").option("checkpointLocation", f"{tmp_path}/state")
-             .outputMode("update").trigger(once=True).start())
-    assert query.awaitTermination(60)
-    assert rows(spark.table("task_rows")) == [("t", "completed", "r1")]
+    schema = "task_id string, status string, result string, created long, seq long, updated long"
+    batches = [
+        [("t", "completed", None, 0, 3, 3), ("t", "processing", "r1", 0, 2, 2), ("t", "pending", "r0", 0, 1, 1)],
+        [("t", "processing", "old", 0, 0, HOUR // 2), ("u", "pending", None, HOUR // 2, 1, HOUR // 2)],
+        [("t", "completed", "r4", 0, 4, HOUR - 9), ("v", "pending", None, HOUR, 1, HOUR + 5000)],
+        [("w", "pending", None, HOUR, 1, HOUR + 6000)],
+        [("t", "processing", "r5", 0, 5, HOUR + 7000)],
+    ]
+    got = played(spark, tmp_path, batches, schema, state.task_status_stream, "updated")
+    told = [r[:4] for batch in got for r in batch if r[0] == "t"]
+    assert told[:3] == [("t", "completed", "r1", 3), ("t", "completed", "r1", 3), ("t", "completed", "r4", 4)]
+    assert ("t", "expired", "r4", 4) in told[3:] and {r[1] for r in told[3:]} == {"expired"}
+    assert not any(r[1] == "expired" for batch in got for r in batch if r[0] != "t")
