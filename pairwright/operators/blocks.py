@@ -23,15 +23,21 @@ from pairwright.session import cut_lineage
 
 SCORE_DIGITS = 9
 QUERY_BLOCK_ROWS = 4096
-ITEM_BLOCK_ROWS = 4096
+#: Long item stripes: a query returns k rows for each stripe, so few of them keep the exchange small.
+ITEM_BLOCK_ROWS = 16_384
+#: Smallest query block that is worth a task of its own.
+LEAST_BLOCK_ROWS = 128
 BROADCAST_SEGMENTS = 100_000
 _CHUNK_CELLS = 4_000_000
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def _block_counts(df: DataFrame, name: str, rows: int, by: Sequence[str] = ()) -> DataFrame:
-    count = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias(name)
+def _block_counts(df: DataFrame, name: str, rows: int, by: Sequence[str] = (), tasks: int = 1) -> DataFrame:
+    """Blocks of at most about ``rows`` rows; up to ``tasks`` of them where rows are fewer."""
+    n = F.count(F.lit(1))
+    busy = F.least(F.lit(tasks), F.ceil(n / LEAST_BLOCK_ROWS))
+    count = F.greatest(F.lit(1), F.ceil(n / rows), busy).cast("int").alias(name)
     return df.groupBy(*by).agg(count) if by else df.agg(count)
 
 
@@ -43,12 +49,15 @@ def _with_block_counts(
     left: DataFrame, right: DataFrame, segmented: bool, left_rows: int, right_rows: int, spread_by: str
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides with the number of blocks of each side, ``_nq`` and ``_ni``."""
+    tasks = left.sparkSession.sparkContext.defaultParallelism
     if not segmented:
         counts = {
-            "_nq": _block_counts(left, "n", left_rows).scalar(),
+            "_nq": _block_counts(left, "n", left_rows, tasks=tasks).scalar(),
             "_ni": _block_counts(right, "n", right_rows).scalar(),
         }
         return left.withColumns(counts), right.withColumns(counts)
+    # the members of segments can come from a costly join: they are counted and read from one written copy
+    right = cut_lineage(right)
     # one row per segment; small tables are broadcast, others meet the items by a salted join
     blocks = cut_lineage(
         _block_counts(left, "_nq", left_rows, ["_seg"])
@@ -130,6 +139,9 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     whole = column.combine_chunks()
     if isinstance(whole, pa.ChunkedArray):
         whole = pa.concat_arrays(whole.chunks)
+    widths = pc.min_max(pc.list_value_length(whole)).as_py()
+    if whole.null_count or widths["min"] != widths["max"]:
+        raise ValueError(f"vectors must have one length, found {widths['min']} to {widths['max']} and {whole.null_count} nulls")
     flat = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(whole), -1)
 

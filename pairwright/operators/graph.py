@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairwright import fixed_values as fv
 from pairwright.operators.skew import salted_join
+from pairwright.session import cut_lineage
 
 SKILL_SCHEMA = "id string, name string, category string, aliases array<string>, seq int"
 RELATION_SCHEMA = "source string, target string, relation string, weight double, seq bigint"
@@ -105,7 +106,7 @@ def related_skills(
     reached = None
     frontier = seeds.select(seed, F.col(seed).alias("node"), F.lit(1.0).alias("weight")).distinct()
     for _ in range(max_depth + 1):
-        frontier = _step(frontier, best, seed).where(F.col("node") != F.col(seed))
+        frontier = cut_lineage(_step(frontier, best, seed).where(F.col("node") != F.col(seed)))
         reached = frontier if reached is None else reached.unionByName(frontier)
     return reached.groupBy(seed, "node").agg(F.max("weight").alias("weight"))
 
@@ -116,7 +117,7 @@ def _neighbourhood(members: DataFrame, edges: DataFrame, hops: int, group: str)
     nodes = members.select(group, "node").distinct()
     frontier = nodes
     for _ in range(2 * hops):
-        frontier = (
+        frontier = cut_lineage(
             salted_join(frontier, links, ["node"], salts=4, spread_by=[group])
             .select(group, F.col("dst").alias("node")).distinct()
             .join(nodes, [group, "node"], "left_anti")

@@ -79,9 +79,10 @@ def vector_topk_join(
 
     Exclusions, band and segment take effect before the cut to k. Distances are rounded to
     nine digits and equal distances are ordered by item id. Vectors without length have
-    similarity 0 to everything.
+    similarity 0 to everything; rows with a null vector take no part.
     """
     cols = [segment] if segment else []
+    queries, items = queries.where(F.col(query_vector).isNotNull()), items.where(F.col(item_vector).isNotNull())
     kernel = cosine_kernel(
         k, query_id, item_id, query_vector, item_vector, score, band, not similarity, skip_self
     )
@@ -275,7 +276,7 @@ def embedding_diagnostics(df: DataFrame, vector: str = "embedding", item_id: str
 
 
 def similarity_extremes(
-    df: DataFrame, vector: str, item_id: str, block_rows: int = blocks.ITEM_BLOCK_ROWS
+    df: DataFrame, vector: str, item_id: str, block_rows: int = 4096
 ) -> DataFrame:
     """Smallest and largest dot product of two different rows, two numbers per block pair."""
     rows = df.select(F.col(item_id).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))

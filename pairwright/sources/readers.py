@@ -192,10 +192,11 @@ def parse_dump(flushes: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 
 def scan_company_logo_map(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed (input_company, identifier, position) rows of a logo map."""
+    """Trimmed (input_company, identifier, position) rows of a logo map; positions follow file names, then lines."""
     rows = spark.read.schema(schemas.LOGO_MAP).option("header", True).csv(path)
     return rows.select(
         F.trim(F.coalesce("input_company", F.lit(""))).alias("input_company"),
         F.trim(F.coalesce("identifier", F.lit(""))).alias("identifier"),
-        F.monotonically_increasing_id().alias("position"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row")).alias("position"),
     )
