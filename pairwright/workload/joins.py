@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.geo import geo_distance as metres_between
 from pairwright.operators import filters, geo, joins, maintenance
 from pairwright.operators import graph as graph_ops
+from pairwright.operators.skew import top_k
 from pairwright.workload import tables as t
 from pairwright.workload.columns import ASKED_SQL, UUID_SQL, asked_uuid, uuid
 from pairwright.workload.registry import query
@@ -130,26 +131,26 @@ PAIRS = "pairs AS (SELECT o_custkey AS user_id, l_partkey AS job_id FROM orders
 
 
 @query("join_anti_blacklist", f"""WITH {PAIRS} SELECT user_id, job_id FROM pairs p
-  WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'error' AND e.user_id = p.user_id AND e.event_id % 500 = p.job_id)
-  AND job_id NOT IN (SELECT event_id % 500 FROM events WHERE event_type = 'view' AND value > 100)""")
+  WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'error' AND e.user_id = p.user_id AND e.event_id % (SELECT count(*) FROM embeddings) = p.job_id)
+  AND job_id NOT IN (SELECT event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'view' AND value > 100)""")
 def _(spark, sf):
     cooled = t.table(spark, sf, "events").where("event_type = 'view' AND value > 100").select(
-        (F.col("event_id") % 500).alias("job_id"))
+        (F.col("event_id") % t.n_vectors(spark, sf)).alias("job_id"))
     return joins.join_anti_blacklist(order_pairs(spark, sf), t.event_pairs(spark, sf, "error"), cooled)
 
 
 @query("join_anti_rejected", f"""WITH {PAIRS} SELECT user_id, job_id FROM pairs p
-  WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'signup' AND e.user_id = p.user_id AND e.event_id % 500 = p.job_id)""")
+  WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'signup' AND e.user_id = p.user_id AND e.event_id % (SELECT count(*) FROM embeddings) = p.job_id)""")
 def _(spark, sf):
     return joins.join_anti_rejected(order_pairs(spark, sf), t.event_pairs(spark, sf, "signup"))
 
 
 @query("join_fields_fanout", """SELECT o_orderkey AS job_id, p_brand AS root_field, p_type AS sub_field
-  FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000)
+  FROM (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3)
   LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
 def _(spark, sf):
-    """The thousand dearest orders, then their fields."""
-    best = t.table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
+    """The three dearest orders of every customer, then their fields."""
+    best = top_k(t.table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
     matches = best.select(F.col("o_orderkey").alias("job_id"))
     fanned = joins.join_fields_fanout(matches, t.field_jobs(spark, sf), t.fields(spark, sf))
     return fanned.select("job_id", "root_field", "sub_field")
@@ -305,7 +306,7 @@ def _(spark, sf):
 
 
 @query("rejection_status", f"""WITH {PAIRS} SELECT DISTINCT user_id, job_id, EXISTS (SELECT 1 FROM events e
-  WHERE event_type = 'signup' AND e.user_id = p.user_id AND e.event_id % 500 = p.job_id) AS is_rejected FROM pairs p""")
+  WHERE event_type = 'signup' AND e.user_id = p.user_id AND e.event_id % (SELECT count(*) FROM embeddings) = p.job_id) AS is_rejected FROM pairs p""")
 def _(spark, sf):
     return joins.rejection_status(order_pairs(spark, sf).distinct(), t.event_pairs(spark, sf, "signup"))
 
@@ -326,17 +327,17 @@ def _(spark, sf):
 
 
 # --- set operations -----------------------------------------------------------------------
-@query("union_dedup_by_id", """SELECT DISTINCT user_id, job_id, 0 AS tier FROM (SELECT user_id, event_id % 500 AS job_id FROM events WHERE event_type = 'click')
-  UNION ALL SELECT DISTINCT user_id, job_id, 1 FROM (SELECT user_id, event_id % 500 AS job_id FROM events WHERE event_type = 'view')
-  WHERE (user_id, job_id) NOT IN (SELECT user_id, event_id % 500 FROM events WHERE event_type = 'click')""")
+@query("union_dedup_by_id", """SELECT DISTINCT user_id, job_id, 0 AS tier FROM (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS job_id FROM events WHERE event_type = 'click')
+  UNION ALL SELECT DISTINCT user_id, job_id, 1 FROM (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS job_id FROM events WHERE event_type = 'view')
+  WHERE (user_id, job_id) NOT IN (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'click')""")
 def _(spark, sf):
     first, second = (t.event_pairs(spark, sf, k).select("user_id", "job_id").distinct() for k in ("click", "view"))
     return joins.union_dedup_by_id(first, second, ["user_id", "job_id"])
 
 
 @query("exclusion_union", """SELECT o_custkey AS user_id, o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F'
-  UNION SELECT user_id, event_id % 500 FROM events WHERE event_type = 'signup'
-  UNION SELECT NULL, event_id % 500 FROM events WHERE event_type = 'error'""")
+  UNION SELECT user_id, event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'signup'
+  UNION SELECT NULL, event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'error'""")
 def _(spark, sf):
     return joins.exclusion_union(
         t.applied(spark, sf), t.event_pairs(spark, sf, "signup"), t.event_pairs(spark, sf, "error"))

@@ -84,7 +84,7 @@ def match_jobs(spark, sf):
 
 def match_exclusions(spark, sf):
     cooled = t.table(spark, sf, "events").where("event_type = 'view' AND value > 280").select(
-        (F.col("event_id") % 500).alias("job_id"))
+        (F.col("event_id") % t.n_vectors(spark, sf)).alias("job_id"))
     return t.event_pairs(spark, sf, "error"), t.event_pairs(spark, sf, "signup"), cooled
 
 
@@ -93,8 +93,8 @@ MATCH = f"""
 req AS (SELECT vec_id AS request_id, vec_id % 150 AS user_id, embedding,
   CASE WHEN vec_id % 3 = 0 THEN ['AFRICA', 'United States', 'ASIA', 'EUROPE', 'MIDDLE EAST'][vec_id % 5 + 1] END AS want,
   vec_id % 3 = 1 AS lev, ['recommended', 'date', 'matching_score'][vec_id % 3 + 1] AS sort_type, CASE WHEN vec_id % 4 = 0 THEN 25 ELSE 0 END AS off, vec_id % 37 = 5 AS guest FROM embeddings),
-live AS (SELECT f.*, embedding FROM flat f JOIN embeddings ON vec_id = job_id WHERE job_id NOT IN (SELECT event_id % 500 FROM events WHERE event_type = 'view' AND value > 280)),
-gone AS (SELECT DISTINCT user_id, event_id % 500 AS job_id FROM events WHERE event_type IN ('error', 'signup')),
+live AS (SELECT f.*, embedding FROM flat f JOIN embeddings ON vec_id = job_id WHERE job_id NOT IN (SELECT event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'view' AND value > 280)),
+gone AS (SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM embeddings) AS job_id FROM events WHERE event_type IN ('error', 'signup')),
 met AS (SELECT a.request_id, a.sort_type, a.off, a.guest, b.job_id, b.posted_date AS posted, round(1 - {PAIR}, 9) AS d,
   coalesce((want IS NULL OR b.country = want) AND (NOT lev OR b.experience IN ('Senior-level', 'Mid-level')), false) AS ok
   FROM req a CROSS JOIN live b WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = a.user_id AND g.job_id = b.job_id)),
@@ -138,10 +138,10 @@ def _(spark, sf):
     return ranked.withColumn("distance", F.round("distance", 6))
 
 
-@query("stale_match_keys", f"""WITH m AS (SELECT o_custkey AS request_id, o_custkey % 150 AS user_id, l_partkey % 500 AS job_id, max(o_orderdate) OVER (PARTITION BY o_custkey) AS made
+@query("stale_match_keys", f"""WITH m AS (SELECT o_custkey AS request_id, o_custkey % 150 AS user_id, l_partkey % (SELECT count(*) FROM embeddings) AS job_id, max(o_orderdate) OVER (PARTITION BY o_custkey) AS made
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-  marked AS (SELECT *, (user_id, job_id) NOT IN (SELECT user_id, event_id % 500 FROM events WHERE event_type IN ('error', 'signup'))
-    AND job_id NOT IN (SELECT event_id % 500 FROM events WHERE event_type = 'view' AND value > 100) AS alive FROM m)
+  marked AS (SELECT *, (user_id, job_id) NOT IN (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type IN ('error', 'signup'))
+    AND job_id NOT IN (SELECT event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'view' AND value > 100) AS alive FROM m)
   SELECT request_id, count(*) AS stored, CAST(sum(CASE WHEN alive THEN 1 ELSE 0 END) AS BIGINT) AS survivors,
   max(made) < TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 300 SECOND OR (sum(CASE WHEN alive THEN 1 ELSE 0 END) < 25 AND count(*) >= 50) AS recompute FROM marked GROUP BY 1""")
 def _(spark, sf):
@@ -149,8 +149,8 @@ def _(spark, sf):
     orders, lines = t.table(spark, sf, "orders"), t.table(spark, sf, "lineitem")
     stored = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("request_id"), (F.col("o_custkey") % 150).alias("user_id"),
-        (F.col("l_partkey") % 500).alias("job_id"), F.col("o_orderdate").alias("created"))
-    cooled = t.table(spark, sf, "events").where("event_type = 'view' AND value > 100").select((F.col("event_id") % 500).alias("job_id"))
+        (F.col("l_partkey") % t.n_vectors(spark, sf)).alias("job_id"), F.col("o_orderdate").alias("created"))
+    cooled = t.table(spark, sf, "events").where("event_type = 'view' AND value > 100").select((F.col("event_id") % t.n_vectors(spark, sf)).alias("job_id"))
     now = F.lit("2000-06-01 00:00:00").cast("timestamp_ntz")
     return ranking.stale_match_keys(
         stored, t.event_pairs(spark, sf, "error"), t.event_pairs(spark, sf, "signup"), cooled, now)
@@ -184,11 +184,11 @@ def _(spark, sf):
     return rounded(ranking.rerank_two_stage(rows).select("query_id", "item_id", "final_score", "rank"), digits=8)
 
 
-@query("biencoder_scores", """SELECT l_orderkey, l_partkey % 500 AS item, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS bi_score
-  FROM lineitem JOIN embeddings a ON a.vec_id = l_orderkey % 500 JOIN embeddings b ON b.vec_id = l_partkey % 500""")
+@query("biencoder_scores", """SELECT l_orderkey, l_partkey % (SELECT count(*) FROM embeddings) AS item, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS bi_score
+  FROM lineitem JOIN embeddings a ON a.vec_id = l_orderkey % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = l_partkey % (SELECT count(*) FROM embeddings)""")
 def _(spark, sf):
     e = t.table(spark, sf, "embeddings")
-    pairs = t.table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 500).alias("q"), (F.col("l_partkey") % 500).alias("item"))
+    pairs = t.table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_orderkey") % t.n_vectors(spark, sf)).alias("q"), (F.col("l_partkey") % t.n_vectors(spark, sf)).alias("item"))
     rows = pairs.join(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), "q").join(
         e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("iv")), "item")
     return rounded(ranking.biencoder_scores(rows, "qv", "iv").select("l_orderkey", "item", "bi_score"))

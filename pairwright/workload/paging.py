@@ -140,7 +140,7 @@ def _(spark, sf):
     return paging.top_matches_internal(page).select("request_id", "job_id", "position")
 
 
-@query("rejection_list", "SELECT user_id, event_id % 500 AS job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since FROM events WHERE event_type = 'signup'")
+@query("rejection_list", "SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since FROM events WHERE event_type = 'signup'")
 def _(spark, sf):
     rejected = t.event_pairs(spark, sf, "signup").withColumnRenamed("ts", "timestamp")
     return paging.rejection_list(rejected).select("user_id", "job_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("since"))

@@ -75,7 +75,7 @@ def _(spark, sf):
     return readers.scan_cooled_jobs(cooled)
 
 
-@query("scan_rejected_jobs", "SELECT user_id, event_id % 500 AS job_id FROM events WHERE event_type = 'signup'")
+@query("scan_rejected_jobs", "SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS job_id FROM events WHERE event_type = 'signup'")
 def _(spark, sf):
     return readers.scan_rejected_jobs(t.event_pairs(spark, sf, "signup"))
 
@@ -246,11 +246,11 @@ def _(spark, sf):
     return readers.scan_company_logo_map(spark, path).select("input_company", "identifier")
 
 
-@query("sink_matches", "SELECT user_id AS resume_id, event_id % 500 AS job_id, '2003-01-01' AS run_date FROM events")
+@query("sink_matches", "SELECT user_id AS resume_id, event_id % (SELECT count(*) FROM embeddings) AS job_id, '2003-01-01' AS run_date FROM events")
 def _(spark, sf):
     path = scratch_path(spark, "matches")
     rows = t.table(spark, sf, "events").select(
-        F.col("user_id").alias("resume_id"), (F.col("event_id") % 500).alias("job_id")
+        F.col("user_id").alias("resume_id"), (F.col("event_id") % t.n_vectors(spark, sf)).alias("job_id")
     )
     writers.sink_matches(rows, path, t.as_of())
     stored = spark.read.parquet(path)

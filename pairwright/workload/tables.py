@@ -116,9 +116,15 @@ def applied(spark, folder) -> DataFrame:
     )
 
 
-def event_pairs(spark, folder, kind: str, jobs_per_user: str = "event_id % 500") -> DataFrame:
+def n_vectors(spark, folder) -> int:
+    return table(spark, folder, "embeddings").count()
+
+
+def event_pairs(spark, folder, kind: str, jobs: str | None = None) -> DataFrame:
+    """(user_id, job_id) of one kind of event; the event ids are spread over all vectors' ids."""
+    job = F.expr(jobs) if jobs else F.col("event_id") % n_vectors(spark, folder)
     return table(spark, folder, "events").where(F.col("event_type") == kind).select(
-        "user_id", F.expr(jobs_per_user).alias("job_id"), "ts", "event_id"
+        "user_id", job.alias("job_id"), "ts", "event_id"
     )
 
 
