@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pairwright import fixed_values as fv
 from pairwright.functions.text import blank_to_null
 
 # --- fixed values ------------------------------------------------------------------
@@ -166,19 +167,18 @@ def _starts(sniff: Column, *hex_prefixes: str) -> Column:
 def image_bytes(sniff: Column, newer: bool = True) -> Column:
     """Whether the first bytes are those of an image."""
     head = _bytes_text(sniff)
-    png, jpeg, gif = "89504E470D0A1A0A", "FFD8FF", ("474946383761", "474946383961")
     hit = (
-        _starts(sniff, png, jpeg, *gif)
-        | (_starts(sniff, "52494646") & F.substring(head, 1, 16).contains("WEBP"))
-        | F.lower(head).contains("<svg")
+        _starts(sniff, fv.PNG_BYTES, fv.JPEG_BYTES, *fv.GIF_BYTES)
+        | (_starts(sniff, fv.RIFF_BYTES) & F.substring(head, 1, 16).contains(fv.WEBP_MARK))
+        | F.lower(head).contains(fv.SVG_MARK)
     )
     if newer:
         brand = F.substring(head, 9, 8)
         known = F.lit(False)
-        for name in ("avif", "avis", "heic", "mif1"):
+        for name in fv.IMAGE_BRANDS:
             known = known | brand.contains(name)
-        hit = hit | _starts(sniff, "00000100") | (
-            (F.length(head) >= 16) & (F.substring(head, 5, 4) == "ftyp") & known
+        hit = hit | _starts(sniff, fv.ICON_BYTES) | (
+            (F.length(head) >= 16) & (F.substring(head, 5, 4) == fv.BRAND_MARK) & known
         )
     return F.coalesce(hit, F.lit(False))
 
@@ -203,17 +203,17 @@ def asset_validity(
     long_enough = (F.coalesce(F.col(length), F.lit(0)) > 0) & F.lit(not strict)
     texty = ct.startswith("text/") | ct.isin(*TEXT_TYPES)
     unknown = (ct == "") | (ct == "application/octet-stream")
-    shown = F.when(ct == "", F.lit("missing")).otherwise(ct)
+    shown = F.when(ct == "", F.lit(fv.REASON_MISSING_TYPE)).otherwise(ct)
     rules = [
-        (image_bytes(data), True, F.lit("OK image bytes")),
-        (ct.startswith("image/") & promised, True, F.lit("Image CT + positive CL (lenient)")),
-        (html, False, F.lit("HTML page (login/error)")),
-        (texty, False, F.concat(F.lit("CT "), ct, F.lit("; not image"))),
-        (unknown & (size >= MIN_IMAGE_BYTES), False, F.lit("Unknown CT; bytes not image")),
-        (unknown & long_enough, True, F.lit("Unknown CT + positive CL (lenient)")),
-        (unknown, False, F.concat(F.lit("CT "), shown, F.lit("; bytes not image"))),
-        (ct.isin(*IMAGE_TYPES), False, F.lit("Image CT but bytes don’t look like image")),
-        (F.lit(True), False, F.concat(F.lit("Unknown CT "), ct, F.lit("; bytes not image"))),
+        (image_bytes(data), True, F.lit(fv.REASON_IMAGE_BYTES)),
+        (ct.startswith("image/") & promised, True, F.lit(fv.REASON_PROMISED_IMAGE)),
+        (html, False, F.lit(fv.REASON_HTML)),
+        (texty, False, F.concat(F.lit(fv.REASON_TYPE), ct, F.lit(fv.REASON_NOT_IMAGE))),
+        (unknown & (size >= MIN_IMAGE_BYTES), False, F.lit(fv.REASON_UNKNOWN_BYTES)),
+        (unknown & long_enough, True, F.lit(fv.REASON_UNKNOWN_PROMISED)),
+        (unknown, False, F.concat(F.lit(fv.REASON_TYPE), shown, F.lit(fv.REASON_BYTES_NOT_IMAGE))),
+        (ct.isin(*IMAGE_TYPES), False, F.lit(fv.REASON_UNLIKE_IMAGE)),
+        (F.lit(True), False, F.concat(F.lit(fv.REASON_UNKNOWN_TYPE), ct, F.lit(fv.REASON_BYTES_NOT_IMAGE))),
     ]
     return _decide(assets, rules)
 
@@ -229,16 +229,16 @@ def asset_validity_older(assets: DataFrame, content_type: str = "content_type",
         (size > 0) & (printable / F.greatest(size, F.lit(1)) > 0.95)
     )
     magic, listed = image_bytes(data, newer=False), ct.isin(*OLDER_IMAGE_TYPES)
-    shown = F.when(ct == "", F.lit("missing")).otherwise(ct)
+    shown = F.when(ct == "", F.lit(fv.REASON_MISSING_TYPE)).otherwise(ct)
     empty = F.coalesce(F.length(data), F.lit(0)) == 0
     rules = [
-        (texty, False, F.lit("HTML/TEXT bytes")),
-        (~listed & magic, True, F.lit("Magic-bytes image (mislabelled CT)")),
-        (~listed, False, F.concat(F.lit("CT "), shown, F.lit("; bytes not image"))),
-        (magic, True, F.lit("OK image")),
+        (texty, False, F.lit(fv.REASON_TEXT_BYTES)),
+        (~listed & magic, True, F.lit(fv.REASON_MISLABELLED)),
+        (~listed, False, F.concat(F.lit(fv.REASON_TYPE), shown, F.lit(fv.REASON_BYTES_NOT_IMAGE))),
+        (magic, True, F.lit(fv.REASON_OK)),
         (empty & (F.coalesce(F.col(length), F.lit(0)) > 0), True,
-         F.lit("Allowed CT + positive Content-Length (no sniff)")),
-        (F.lit(True), False, F.lit("Allowed CT but bytes not image")),
+         F.lit(fv.REASON_ALLOWED_PROMISED)),
+        (F.lit(True), False, F.lit(fv.REASON_ALLOWED_OTHER)),
     ]
     return _decide(assets, rules)
 

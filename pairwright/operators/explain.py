@@ -70,9 +70,9 @@ def explain_experience(
     gap = _level(own_level) - _level(asked_level)
     level_score = F.when(gap >= 0, 1.0).when(gap == -1, 0.7).otherwise(0.4)
     notes = (
-        F.when(gap >= 0, "Experience level meets or exceeds requirement")
-        .when(gap == -1, "Slightly below required level, may be acceptable")
-        .otherwise("Below required experience level")
+        F.when(gap >= 0, fv.NOTE_LEVEL_MET)
+        .when(gap == -1, fv.NOTE_LEVEL_NEAR)
+        .otherwise(fv.NOTE_LEVEL_BELOW)
     )
     years_score = (
         F.when(F.col(resume_years) >= F.col(job_years), 1.0)
@@ -100,7 +100,7 @@ def explain_location(
     is_remote: str = "is_remote", regions: tuple = fv.REGIONS,
 ) -> DataFrame:
     """Adds ``location_explanation``; null when the job has no location."""
-    own = F.coalesce(F.nullif(F.col(resume_location), F.lit("")), F.lit("Unknown"))
+    own = F.coalesce(F.nullif(F.col(resume_location), F.lit("")), F.lit(fv.UNKNOWN_PLACE))
     job = F.col(job_location)
     remote = F.coalesce(F.col(is_remote), F.lit(False))
     same_region = F.lit(False)
@@ -127,26 +127,26 @@ def explain_summary(matches: DataFrame, overall: str = "overall_score") -> DataF
 
     def counted(label: str, items: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat(
-            F.lit(f"{label} "), F.size(items).cast("string"), F.lit(" required skills: "),
+            F.lit(f"{label} "), F.size(items).cast("string"), F.lit(fv.REQUIRED_SKILLS),
             first_three(items),
         ))
 
     remote = F.coalesce(loc["is_remote"], F.lit(False))
     highlights = F.array_compact(F.array(
-        counted("Matches", skill["matched_skills"]),
+        counted(fv.LABEL_MATCHES, skill["matched_skills"]),
         F.when(F.size(skill["bonus_skills"]) > 0, F.concat(
-            F.lit("Brings additional skills: "), first_three(skill["bonus_skills"]))),
+            F.lit(fv.BRINGS_SKILLS), first_three(skill["bonus_skills"]))),
         F.when(exp["strength"] == "strong", F.concat(
-            F.lit("Experience level ("), exp["candidate_level"], F.lit(") meets requirements"))),
-        F.when(remote, F.lit("Remote work available")).when(
-            loc["strength"] == "strong", F.concat(F.lit("Location matches: "), loc["job_location"])),
+            F.lit(fv.LEVEL_BEFORE), exp["candidate_level"], F.lit(fv.LEVEL_AFTER))),
+        F.when(remote, F.lit(fv.REMOTE_AVAILABLE)).when(
+            loc["strength"] == "strong", F.concat(F.lit(fv.LOCATION_MATCHES), loc["job_location"])),
     ))
     concerns = F.array_compact(F.array(
-        counted("Missing", skill["missing_skills"]),
+        counted(fv.LABEL_MISSING, skill["missing_skills"]),
         F.when(exp["strength"].isin("weak", "missing"), F.concat(
-            F.lit("Experience level may be below requirement ("), exp["required_level"], F.lit(")"))),
+            F.lit(fv.LEVEL_CONCERN_BEFORE), exp["required_level"], F.lit(fv.LEVEL_CONCERN_AFTER))),
         F.when(~remote & (loc["strength"] == "weak"), F.concat(
-            F.lit("Location mismatch: job in "), loc["job_location"])),
+            F.lit(fv.LOCATION_MISMATCH), loc["job_location"])),
     ))
     return matches.withColumns({
         "overall_strength": score_to_strength(F.col(overall)),
