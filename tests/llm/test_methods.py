@@ -78,6 +78,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
 
 
+def test_copies_without_their_original(spark):
+    """Copies edited at two to four places each, so that some are alike and many that meet in buckets are not."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(146)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(146), rng.choice([1, 1, 2, 2, 3, 4])):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, least = plain.classes([t for _, t in rows]), {}
+    for i, t in rows:
+        least[want[t]] = min(i, least.get(want[t], i))
+    assert {r.doc_id: r.class_id for r in got} == {i: least[want[t]] for i, t in rows} and len(least) > 5
+
+
 def test_components_close_long_chains(spark):
     links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("x", "y"), ("z", "y")]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a string, b string")).collect())
