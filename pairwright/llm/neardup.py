@@ -9,10 +9,12 @@ with a probability equal to their weighted Jaccard similarity. Because times ris
 as soon as its next point comes after the document's largest component, and most shingles need one
 point only.
 
-Banded candidates are not expanded into all pairs of a bucket. In each round every bucket compares all its
-members with a pivot of each smaller component it still holds; verified links join components, and pairs
-within one component need no test. The rounds end when no bucket holds an untested pair of different
-components, so the components are those of all banded pairs.
+Banded candidates are not expanded into all pairs of a bucket. First every bucket compares its members with its
+most popular one (in the fullest buckets), which is nearest to the middle of a group of copies; verified links
+join components. Buckets that still hold several components go on: members of the smaller components are
+compared with those members of other components that have enough shingles in common with anyone to be
+similar at all: one member of each, then eight, then all. Pairs within one component need no test. After
+that no bucket holds an untested pair of different components, so the components are those of all banded pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import (
-    SHINGLE_WORDS, bound_batches, broadcast_if_small, same, stored, text_of, words_of,
+    SHINGLE_WORDS, bound_batches, broadcast_if_small, let, same, stored, text_of, words_of,
 )
 from pairwright.llm.components import components
+from pairwright.operators.skew import top_k
 
 BANDS = 25
 ROWS = 5
@@ -90,9 +93,10 @@ def _band_hashes(bags: list[np.ndarray]) -> list[np.ndarray | None]:
     return list(band.view(np.int64))
 
 
-def _banded(bags: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bags:
-        values = [np.asarray(b, dtype=np.int64) if b is not None else np.zeros(0, np.int64) for b in batch]
+def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, doc, bag) -> (node, doc, bands); no bands without shingles."""
+    for batch in batches:
+        values = [np.asarray(b, dtype=np.int64) if b is not None else np.zeros(0, np.int64) for b in batch["bag"]]
         out: list[np.ndarray | None] = [None] * len(values)
         group: list[int] = []
         size = 0
@@ -104,30 +108,66 @@ def _banded(bags: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if bag is not None and len(bag):
                 group.append(i)
                 size += len(bag)
-        yield pd.Series(out)
+        batch["bands"] = out
+        yield batch[["node", "doc", "bands"]]
 
 
-def _overlap(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-    """Exact weighted Jaccard similarity of two multisets of shingle hashes."""
-    found = []
-    for a, b in zip(lefts, rights, strict=True):
-        (x, m), (y, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = int(np.minimum(m[i], n[j]).sum())
-        found.append(both / (len(a) + len(b) - both))
-    return pd.Series(found, dtype="float64")
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b, a_bag, b_bag) -> (a, b, similarity): the exact weighted Jaccard similarity."""
+    for batch in batches:
+        found = []
+        for left, right in zip(batch["a_bag"], batch["b_bag"], strict=True):
+            (x, m), (y, n) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            both = int(np.minimum(m[i], n[j]).sum())
+            found.append(both / (len(left) + len(right) - both))
+        batch["similarity"] = found
+        yield batch[["a", "b", "similarity"]]
 
 
-def _bag(words: str):
-    """Hashes of all shingles of a word array, repeated ones as often as they stand; null without words."""
-    w = F.col(words)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS), lambda i: F.xxhash64(
-        *[F.get(w, i + k) if k else F.get(w, i) for k in range(SHINGLE_WORDS)]))
-    return F.when(F.size(w) >= SHINGLE_WORDS, runs).when(F.size(w) > 0, F.array(F.xxhash64(w)))
+def _bag(text: Column) -> Column:
+    """Hashes of all shingles of a text, repeated ones as often as they stand; null without words."""
 
+    def hashes(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS), lambda i: F.xxhash64(
+            *[F.get(w, i + k) for k in range(SHINGLE_WORDS)]))
+        return F.when(F.size(w) >= SHINGLE_WORDS, runs).when(F.size(w) > 0, F.array(F.xxhash64(w)))
 
-def _bags(docs: DataFrame, node: str, text: str) -> DataFrame:
-    return docs.select(node, words_of(F.col(text)).alias("words")).select(node, _bag("words").alias("bag"))
+    return let(words_of(text), hashes)
+
+
+def _links(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    met = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b")
+    bags = met.select("a", "b", _bag(F.col("a_text")).alias("a_bag"), _bag(F.col("b_text")).alias("b_bag"))
+    compared = stored(bags.mapInPandas(_compared, "a string, b string, similarity double"), "compared")
+    return compared.where(F.col("similarity") >= threshold).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of the nodes after joining the components that the links connect."""
+    x = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    y = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    across = links.join(x, "a").join(y, "b").where(F.col("x") != F.col("y"))
+    roots = components(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("label", "root")
+    return stored(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _shared_shingles(bodies: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, c): shingles of a text, and how many of them stand in another text of ``bodies`` too.
+
+    The overlap of two texts is at most the smaller ``c``, which rules most pairs of a bucket out
+    without forming them. A text with c below ``threshold`` * n is similar to none and is left out.
+    """
+    bags = stored(bodies.select("node", F.xxhash64("node").alias("key"), _bag(F.col("body")).alias("bag")), "member-bags")
+    lone = (
+        bags.select("key", F.explode("bag").alias("h")).groupBy("h")
+        .agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("key") == F.col("last")).groupBy("key").agg(F.sum("n").alias("lone"))
+    )
+    counted = bags.select("node", "key", F.size("bag").alias("n")).join(lone, "key", "left")
+    rows = counted.select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c"))
+    return rows.where(F.col("c") >= F.col("n") * threshold - 1e-6)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id",
@@ -142,56 +182,61 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    bands = F.pandas_udf(_banded, "array<bigint>")
-    overlap = F.pandas_udf(_overlap, "double")
+    kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.md5(text_of(F.col(text))).alias("node"), F.col(doc_id).alias("doc"), text_of(F.col(text)).alias("body"))
     signed = stored(
-        keyed.select("node", "doc", words_of(F.col("body")).alias("words"))
-        .select("node", "doc", bands(_bag("words")).alias("bands")), "signatures")
+        keyed.select("node", "doc", _bag(F.col("body")).alias("bag"))
+        .mapInPandas(_banded, f"node string, doc {kind}, bands array<bigint>"), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc").alias("doc"))
     placed = signed.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where(F.col("n") > 1)
-    members = stored(placed.join(shared.select("bucket", "pivot"), "bucket"), "members")
-    labels = stored(members.select("node", F.col("node").alias("label")).distinct(), "labels")
-    tested = None
-    pairs = members.where(F.col("node") != F.col("pivot")).select("node", "pivot")
-    pivots = members.select("bucket", F.col("pivot").alias("node")).distinct()
-    while True:
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = stored(placed.join(shared, "bucket"), "members")
+    popular = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = stored(
+        members.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")), "pivots")
+    pairs = members.join(pivots, "bucket").where(F.col("node") != F.col("pivot")).select("node", "pivot")
+    named = members.select("node").distinct()
+    bodies = keyed.join(broadcast_if_small(named, named.count()), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+    bodies = stored(bodies, "member-texts")
+    members = members.select("bucket", "node")
+    labels = stored(named.select("node", F.col("node").alias("label")), "labels")
+    tested = pivots.select("bucket", F.col("pivot").alias("node"))
+    reach = 1 + threshold
+    for take in (1, 8, None, None):
         ordered = pairs.select(F.least("node", "pivot").alias("b"), F.greatest("node", "pivot").alias("a")).distinct()
-        ordered = stored(ordered, "candidates")
-        count = ordered.count()
-        if count:
-            needed = ordered.select(F.col("a").alias("node")).union(ordered.select(F.col("b").alias("node"))).distinct()
-            bodies = keyed.join(broadcast_if_small(needed, count), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-            bodies = stored(bodies, "candidate-texts")
-            one = bodies.toDF("a", "a_text")
-            two = bodies.toDF("b", "b_text")
-            met = ordered.join(one, "a").join(two, "b")
-            met = met.select("a", "b", words_of(F.col("a_text")).alias("v"), words_of(F.col("b_text")).alias("w"))
-            # Filtered only after it is written: Spark would push the filter down and inline the words per shingle.
-            compared = stored(met.select("a", "b", overlap(_bag("v"), _bag("w")).alias("similarity")), "compared")
-            links = compared.where(F.col("similarity") >= threshold).select("a", "b")
-            named = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
-            other = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-            joined = links.join(named, "a").join(other, "b").where(F.col("x") != F.col("y"))
-            merged = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("label", "root")
-            labels = stored(labels.join(merged, "label", "left").select(
-                "node", F.coalesce("root", "label").alias("label")), "labels")
-        tested = pivots if tested is None else tested.unionByName(pivots)
-        tested = stored(tested.distinct(), "tested")
-        current = members.select("bucket", "node").join(labels, "node")
-        untested = current.join(tested, ["bucket", "node"], "left_anti")
-        holds = untested.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        holds = stored(holds, "bucket-components")
-        largest_last = Window.partitionBy("bucket").orderBy(F.desc("n"), "label")
-        ahead = holds.withColumn("at", F.row_number().over(largest_last)).where(F.col("at") > 1)
-        pivots = stored(ahead.select("bucket", "node", "label"), "pivots")
-        if pivots.isEmpty():
+        labels = _merged(labels, _links(stored(ordered, "candidates"), bodies, threshold))
+        current = stored(members.join(labels, "node"), "labelled-members")
+        mixed = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
+            F.col("low") != F.col("high")).select("bucket")
+        current = current.join(mixed, "bucket", "left_semi")
+        if take == 1:
+            asked = current.select("node").distinct()
+            bands = signed.select("node", "bands").join(asked, "node", "left_semi").dropDuplicates(["node"])
+            alike = stored(_shared_shingles(bodies.join(asked, "node", "left_semi"), threshold).join(bands, "node"), "shared-shingles")
+        current = current.join(alike, "node")
+        # A text that shares too little even for the smallest text of its bucket has no link there.
+        smallest = current.groupBy("bucket").agg(F.min("n").alias("small"))
+        current = stored(current.join(smallest, "bucket").where(
+            F.col("c") * reach >= (F.col("n") + F.col("small")) * threshold - 1e-6).drop("small"), "mixed-members")
+        untested = stored(current.join(tested, ["bucket", "node"], "left_anti").select("bucket", "label", "node"), "untested")
+        sizes = untested.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+        largest_first = Window.partitionBy("bucket").orderBy(F.desc("members"), "label")
+        smaller = sizes.withColumn("at", F.row_number().over(largest_first)).where(F.col("at") > 1).select("bucket", "label")
+        chosen = untested.join(smaller, ["bucket", "label"], "left_semi")
+        if take:
+            chosen = top_k(chosen, ["bucket", "label"], [F.col("node").asc()], take, "at").drop("at")
+        chosen = stored(chosen.select("bucket", "node"), "pivots")
+        if chosen.isEmpty():
             break
-        pairs = current.toDF("node", "bucket", "label").alias("m").join(
-            pivots.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("own")), "bucket",
-        ).where((F.col("label") != F.col("own")) & (F.col("node") != F.col("pivot"))).select("node", "pivot")
-        pivots = pivots.select("bucket", "node")
+        other = current.join(chosen, ["bucket", "node"], "left_semi").select(
+            F.col("bucket").alias("other_bucket"), F.col("node").alias("pivot"), F.col("label").alias("own"), F.col("n").alias("m"), F.col("c").alias("d"),
+            F.col("bands").alias("other_bands"))
+        could = F.least("c", "d") * reach >= (F.col("n") + F.col("m")) * threshold - 1e-6
+        # A pair that shares several buckets is formed in the first of them only.
+        once = F.array_min(F.array_intersect("bands", "other_bands")) == F.col("bucket")
+        across = (F.col("bucket") == F.col("other_bucket")) & (F.col("label") != F.col("own"))
+        pairs = current.join(other, across & could & once).select("node", "pivot")
+        tested = stored(tested.unionByName(chosen), "tested")
     roots = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     roots = stored(roots, "roots")
     least = roots.groupBy("label").agg(F.min("doc").alias("class_id"))
