@@ -254,3 +254,20 @@ def test_packing_round_trip(spark):
         assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:], strict=False))
         assert sum(n for _, n in own) <= 2048
     assert len(places) <= plain.first_fit_decreasing([n for _, n, _ in want.values()], 2048) + 1
+
+
+def test_long_passage_of_one_hot_source_is_boilerplate(spark):
+    """A passage that one source mostly holds: five sites are enough for a long line, not for a short one."""
+    rng = random.Random(8)
+    longs = {n: sentence(rng, 51) for n in (4, 5, 6)}
+    short = sentence(rng, 50)
+    rows = []
+    for n, passage in longs.items():
+        rows += [(100 * n + i, f"own {n} {i}\n{passage}", "hot" if i < 20 else f"s{i - 19}") for i in range(20 + n - 1)]
+    rows += [(1000 + i, f"other {i}\n{short}", f"s{i}") for i in range(9)]
+    got = {r.doc_id: r for r in lines.remove_boilerplate(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), counted="gone").collect()}
+    gone = {n: sum(r.gone for d, r in got.items() if d // 100 == n) for n in longs}
+    assert gone == {4: 0, 5: 23, 6: 24}
+    assert longs[5] in got[500].text and got[501].text == "own 5 1"
+    assert not any(got[1000 + i].gone for i in range(9))
