@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairwright.llm import decontaminate, lines, neardup, packing, pii, rules, shards, toxicity
+from pairwright.llm import decontaminate, licenses, lines, neardup, packing, pii, rules, shards, toxicity
 from pairwright.llm.components import components
 from pairwright.llm.queries import tokenizer_path
 from tests.llm import plain
@@ -271,3 +271,26 @@ def test_long_passage_of_one_hot_source_is_boilerplate(spark):
     assert gone == {4: 0, 5: 23, 6: 24}
     assert longs[5] in got[500].text and got[501].text == "own 5 1"
     assert not any(got[1000 + i].gone for i in range(9))
+
+
+def test_statements_wrapped_over_lines_are_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    rows = [
+        (0, f"zog zig\n{bsd} provided\nzag"),
+        (1, " * ".join(["", *(w + "\n" for w in bsd.split())])),
+        (2, "you can redistribute it and/or modify\nit under the terms of the GNU General Public License"),
+        (3, "ba ta " * 30 + "To the extent possible under law the author\nhas waived all copyright and related rights " + "ke li " * 30),
+        (4, "Redistribution and use in source\n" + "ba " * 40 + "\nand binary forms, with or without modification, are permitted"),
+        (5, bsd.replace("\n", " ")), (6, "Permission is\nhereby"), (7, "\n\n"), (8, None),
+        (9, "ba der ta mit\nke li\nLicensed under the Apache License, Version 2.0."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for value_words in (licenses.VALUE_WORDS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(licenses, "VALUE_WORDS", value_words)
+            got = {r.doc_id: (r.labels, r.score) for r in licenses.license_report(docs).collect()}
+        assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("gpl", 1.0), 3: ("cc0", 1.0), 4: ("", 0.0), 5: ("bsd", 1.0),
+                       6: ("", 0.0), 7: ("", 0.0), 8: ("", 0.0), 9: ("apache", 1.0)}
+    keyed = docs.where("doc_id = 2").select(F.col("doc_id").alias("digest"), F.col("text").alias("body"))
+    met = licenses.matching_blocks(keyed, licenses.template_table(spark)).collect()
+    assert {(r.label, r.containment) for r in met} == {("gpl", 1.0)} and all(r.block < 0 for r in met)
