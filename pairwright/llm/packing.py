@@ -125,8 +125,9 @@ def _tokenized(path: str, length: int):
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of positions in ``lengths``; no bin is fuller than ``capacity``.
 
-    Each bin is filled greedily with the largest piece that fits. Then its smallest piece is taken out
-    whenever two unpacked pieces fill the widened gap more tightly. Ties go to the lower position.
+    Each bin is filled greedily with the largest piece that fits. Then, once per bin and only in bins of two
+    pieces or more, the smallest piece is taken out if two unpacked pieces fill the widened gap more tightly.
+    A bin of one piece keeps its gap. Ties go to the lower position.
     """
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     for at in sorted(range(len(lengths)), reverse=True):
