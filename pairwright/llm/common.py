@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,12 @@ def let(value: Column, body) -> Column:
     A lambda variable, unlike a named column, stays computed once when Spark pushes a filter over it.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of texts, and where each text begins (one entry more than texts)."""
+    whole = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    values = whole.buffers()[2]
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]

@@ -14,9 +14,12 @@ from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import find_personal_data
 from pairwright.llm.quality import fit_quality, quality_scores
+from pairwright.llm.resample import BUCKETS, LEAST_WORDS, SEED, SHARE_PCT, resample
 from pairwright.llm.rules import GRID, LEVEL, RISK, rule_report
 from pairwright.llm.shards import shard_by_bytes
+from pairwright.llm.suffixes import repeat_report
 from pairwright.llm.toxicity import fit_toxicity, toxicity_scores
+from pairwright.llm.whitening import whiten
 from pairwright.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -202,3 +205,43 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_contextual_personal_data")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of words in SQL: a table of 256 entries by its rule, then one step a byte.
+_CRC_TABLE = """list_transform(range(0, 256), lambda v: list_reduce(list_prepend(v, range(0, 8)::BIGINT[]), lambda c, i:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END))"""
+
+
+@_query("op11_target_resampling", rf"""
+WITH tab AS (SELECT {_CRC_TABLE} AS crc),
+     d AS (SELECT row_number() OVER () AS r, doc_id, {_license_words("coalesce(text, '')")} AS w FROM documents),
+     dw AS (SELECT r, unnest(w) AS word FROM d),
+     bw AS (SELECT unnest({_license_words("coalesce(text, '')")}) AS word FROM benchmark),
+     v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+     c AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT)),
+             lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295::BIGINT) % {BUCKETS} AS bucket FROM v, tab),
+     s AS (SELECT bucket, count(*) AS n FROM dw JOIN c USING (word) GROUP BY bucket),
+     t AS (SELECT bucket, count(*) AS n FROM bw JOIN c USING (word) GROUP BY bucket),
+     g AS (SELECT b.bucket, floor(1000.0::DOUBLE * ln(((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + {BUCKETS}))::DOUBLE
+             / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + {BUCKETS}))::DOUBLE))::BIGINT AS gain
+           FROM (SELECT unnest(range(0, {BUCKETS})) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+     f AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY r),
+     k AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln(
+             (('0x' || sha256('{SEED}:' || doc_id::VARCHAR)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+           FROM d LEFT JOIN f USING (r)),
+     o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM k WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {SHARE_PCT} * able // 100 THEN rank END AS rank FROM k LEFT JOIN o USING (r)
+""")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_whitened_embeddings")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_suffix_repeats")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
