@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,10 +22,13 @@ END_ID = 0
 #: Pieces that one task packs; each group leaves about one sequence open, whatever its size.
 GROUP_PIECES = 20_000
 #: Encoded words a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Bytes of text and new words encoded at once inside a task.
 STEP_BYTES = 2_000_000
-STEP_WORDS = 4_000
+STEP_WORDS = 40_000
+#: Words joined to one text for the tokenizer, and the sign between them.
+JOINED_WORDS = 1_000
+MARK = "~"
 
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 PLACES = "sequence_id long, `offset` long"
@@ -34,56 +38,95 @@ class WordEncoder:
     """Token ids of texts, encoded once per distinct word.
 
     Blanks and line feeds never belong to a token of this tokenizer and end every token, so the ids of a
-    text are the ids of its words in a row. Texts that spell a special token are encoded as a whole.
+    text are the ids of its words in a row. New words are encoded many at once, parted by ``MARK``; no word that is
+    encoded this way holds it, so its id tells where each word ends. Texts that spell a special token are
+    encoded as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), STEP_WORDS):
-            found = self.tokenizer.encode_batch_fast(texts[i:i + STEP_WORDS], add_special_tokens=False)
-            out.extend(np.array(f.ids, "<u4").tobytes() for f in found)
-        return out
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep ids of further words; ``sizes``: how many of the ids belong to each."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.r_[self.pool[:self.used], np.zeros(len(self.pool) + len(ids), "<u4")]
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.begin = np.r_[self.begin, self.used + np.cumsum(sizes) - sizes]
+        self.size = np.r_[self.size, sizes]
+        self.used += len(ids)
+
+    def _singly(self, texts: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [np.array(f.ids, "<u4") for f in found]
+        self._store(np.concatenate([np.zeros(0, "<u4"), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, words: list[str]) -> None:
+        odd = [w for w in words if MARK in w]
+        plain = [w for w in words if MARK not in w] if odd else words
+        for first in range(0, len(plain), STEP_WORDS):
+            step = plain[first:first + STEP_WORDS]
+            joined = [f" {MARK} ".join([*step[i:i + JOINED_WORDS], ""]) for i in range(0, len(step), JOINED_WORDS)]
+            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
+            marks = ids == self.mark
+            ends = np.flatnonzero(marks)
+            self._store(ids[~marks], np.diff(np.r_[-1, ends]) - 1)
+        for word in plain:
+            self.known[word] = len(self.known)
+        if odd:
+            self._singly(odd)
+            for word in odd:
+                self.known[word] = len(self.known)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with ``end`` after each text, and where each text begins (one entry more than texts)."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self._forget()
         whole = np.zeros(len(texts), bool)
         for token in self.special:
             whole |= np.asarray(pc.match_substring(texts, token).to_numpy(zero_copy_only=False), bool)
-        spelt = pc.if_else(pa.array(whole), "", texts)
+        spelt = pc.if_else(pa.array(whole), "", texts)  # also a copy without an offset, which the steps below need
         # The tokenizer lower-cases and parts letters from signs itself; doing both here leaves fewer distinct words.
         parted = pc.replace_substring_regex(pc.ascii_lower(spelt), "([a-z])([.,])", r"\1 \2")
         lists = pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.known]
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
-        parts = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy()
-        per_word = sizes[codes]
-        into = np.cumsum(per_word) - per_word
-        ids = pool[np.arange(int(per_word.sum())) + np.repeat(begin[codes] - into, per_word)]
+        known = self.known
+        fresh = [w for w in distinct if w not in known]
+        if fresh:
+            self._learn(fresh)
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        codes = place[words.indices.to_numpy()]
         ends = np.asarray(lists.offsets.to_numpy(), np.int64)
         ends = ends - ends[0]
-        starts = np.r_[into, len(ids)][ends]
-        rows = [ids[starts[i]:starts[i + 1]] for i in range(len(texts))]
-        for i in np.flatnonzero(whole):
-            rows[i] = np.frombuffer(self._encode([texts[int(i)].as_py()])[0], "<u4")
-        close = np.array([end], "<u4")
-        lengths = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
-        flat = np.concatenate([x for r in rows for x in (r, close)] or [close[:0]])
-        return flat, np.r_[0, np.cumsum(lengths)]
+        if whole.any():  # such a text stands here as one empty word
+            at = np.flatnonzero(whole)
+            codes[ends[at]] = len(self.begin) + np.arange(len(at))
+            kept = self.begin, self.size, self.used
+            self._singly([texts[int(i)].as_py() for i in at])
+        begin, size = self.begin[codes], self.size[codes]
+        total = int(size.sum())
+        into = np.cumsum(size) - size
+        before = np.repeat(np.arange(len(texts)), np.diff(ends))  # ends that stand before each word
+        shift = np.repeat(into + before - begin, size)
+        source = np.repeat(begin - into, size) + np.arange(total)
+        flat = np.full(total + len(texts), end, "<u4")
+        flat[source + shift] = self.pool[source]
+        starts = np.r_[into, total][ends] + np.arange(len(ends))
+        if whole.any():
+            self.begin, self.size, self.used = kept
+        return flat, starts
 
 
 @lru_cache(maxsize=1)
