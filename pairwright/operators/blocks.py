@@ -5,6 +5,10 @@ meets every item block of its segment in exactly one task, which returns only th
 items of each of its queries; a partial and a final rank filter merge them. Pairs are never
 materialised, hot ids or hot terms do not concentrate work, and pairs to leave out travel to
 the single block pair they belong to.
+
+Where items need several blocks, a first pass asks each of them only for its few best values of every
+query, without ids. The k-th of all these values bounds the query's k-th best item, so in the second pass a block
+returns what lies within the bound: about k rows a query altogether, not k for each block.
 """
 
 from __future__ import annotations
@@ -30,7 +34,11 @@ LEAST_BLOCK_ROWS = 128
 BROADCAST_SEGMENTS = 100_000
 _CHUNK_CELLS = 4_000_000
 
-Kernel = Callable[[pa.Table, pa.Table], pa.Table]
+#: (query rows, item rows, whether only the best values are wanted) to the rows of a block pair.
+Kernel = Callable[[pa.Table, pa.Table, bool], pa.Table]
+
+#: Two passes over one pair of vectors can differ by a rounding step; a bound is widened by that.
+BOUND_SLACK = 2 * 10.0 ** -SCORE_DIGITS
 
 
 def _block_counts(df: DataFrame, name: str, rows: int, by: Sequence[str] = (), tasks: int = 1) -> DataFrame:
@@ -47,15 +55,15 @@ def _block(column: str, count: str) -> Column:
 
 def _with_block_counts(
     left: DataFrame, right: DataFrame, segmented: bool, left_rows: int, right_rows: int, spread_by: str
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the number of blocks of each side, ``_nq`` and ``_ni``."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with the number of blocks of each side, ``_nq`` and ``_ni``, and the largest ``_ni``."""
     tasks = left.sparkSession.sparkContext.defaultParallelism
     if not segmented:
-        counts = {
-            "_nq": _block_counts(left, "n", left_rows, tasks=tasks).scalar(),
-            "_ni": _block_counts(right, "n", right_rows).scalar(),
-        }
-        return left.withColumns(counts), right.withColumns(counts)
+        query_blocks = _block_counts(left, "_nq", left_rows, tasks=tasks)
+        item_blocks = _block_counts(right, "_ni", right_rows)
+        nq, ni = query_blocks.select("_nq", item_blocks.scalar().alias("_ni")).first()
+        counts = {"_nq": F.lit(nq), "_ni": F.lit(ni)}
+        return left.withColumns(counts), right.withColumns(counts), ni
     # the members of segments can come from a costly join: they are counted and read from one written copy
     right = cut_lineage(right)
     # one row per segment; small tables are broadcast, others meet the items by a salted join
@@ -63,17 +71,18 @@ def _with_block_counts(
         _block_counts(left, "_nq", left_rows, ["_seg"])
         .join(_block_counts(right, "_ni", right_rows, ["_seg"]), "_seg")
     )
-    if blocks.count() <= BROADCAST_SEGMENTS:
+    segments, most = blocks.agg(F.count(F.lit(1)), F.max("_ni")).first()
+    if segments <= BROADCAST_SEGMENTS:
         small = F.broadcast(blocks)
-        return left.join(small, "_seg"), right.join(small, "_seg")
-    return left.join(blocks, "_seg"), salted_join(right, blocks, ["_seg"], spread_by=[spread_by])
+        return left.join(small, "_seg"), right.join(small, "_seg"), most or 0
+    return left.join(blocks, "_seg"), salted_join(right, blocks, ["_seg"], spread_by=[spread_by]), most
 
 
 def blocked_top_k(
     queries: DataFrame,
     items: DataFrame,
     kernel: Kernel,
-    k: int,
+    k: int | str,
     *,
     query_id: str,
     item_id: str,
@@ -81,52 +90,85 @@ def blocked_top_k(
     segment: str | None = None,
     excluded: DataFrame | None = None,
     best_first: bool = True,
+    shared: str | None = None,
     query_block_rows: int = QUERY_BLOCK_ROWS,
     item_block_rows: int = ITEM_BLOCK_ROWS,
 ) -> DataFrame:
     """``[segment,] query_id, item_id, score, rank`` of the best k items per query.
 
     ``queries`` and ``items`` hold the id and the columns the kernel reads; ``segment``
-    names a column of both sides that must be equal. ``excluded`` holds (query_id, item_id)
-    pairs that must not compete. Ids may repeat over rows (one row per term).
+    names a column of both sides that must be equal. ``k`` is a number or a column of ``queries`` with each query's
+    own one. ``excluded`` holds (query_id, item_id) pairs that must not compete. Ids may repeat over rows (one row per
+    term). ``shared`` names a column of both sides: an item's row is of use only to queries with the same
+    value, and is sent only to blocks that have one.
     """
     seg = F.col(segment).cast("string") if segment else F.lit("")
-    left = queries.withColumn("_seg", seg)
+    left = queries.withColumn("_seg", seg).withColumn("_k", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int"))
+    if isinstance(k, str):
+        left = left.drop(k)
     right = items.withColumn("_seg", seg)
-    left, right = _with_block_counts(
+    left, right, stripes = _with_block_counts(
         left, right, segment is not None, query_block_rows, item_block_rows, item_id
     )
     left = left.withColumn("_qb", _block(query_id, "_nq"))
     right = right.withColumn("_ib", _block(item_id, "_ni"))
-    spread_left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
-    spread_right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-    spread_left = spread_left.withColumn("_out", F.lit(None).cast(items.schema[item_id].dataType))
+    if shared is None:
+        spread_right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    else:
+        asked = left.select("_seg", shared, F.col("_qb").alias("_to")).distinct()
+        spread_right = right.join(asked, ["_seg", shared]).withColumn("_qb", F.col("_to")).drop("_to")
+    spread_right = spread_right.drop("_nq", "_ni")
+    placed = None
     if excluded is not None:
         placed = left.select("_seg", query_id, "_qb", "_ni").distinct().join(
             excluded.select(query_id, F.col(item_id).alias("_out")), query_id
         )
         placed = placed.withColumn("_ib", _block("_out", "_ni"))
-        spread_left = spread_left.unionByName(placed, allowMissingColumns=True)
 
     keys = ["_seg", "_qb", "_ib"]
+    query_fields = [T.StructField("_seg", T.StringType()), T.StructField(query_id, queries.schema[query_id].dataType)]
     schema = T.StructType([
-        T.StructField("_seg", T.StringType()),
-        T.StructField(query_id, queries.schema[query_id].dataType),
+        *query_fields,
         T.StructField(item_id, items.schema[item_id].dataType),
         T.StructField(score, T.DoubleType()),
     ])
-    found = (
-        spread_left.drop("_nq", "_ni").groupBy(*keys)
-        .cogroup(spread_right.drop("_nq", "_ni").groupBy(*keys))
-        .applyInArrow(kernel, schema)
-    )
+
+    def search(asking: DataFrame, sketch: bool) -> DataFrame:
+        spread_left = asking.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
+        spread_left = spread_left.withColumn("_stripes", F.col("_ni")).withColumn(
+            "_out", F.lit(None).cast(items.schema[item_id].dataType))
+        if placed is not None:
+            spread_left = spread_left.unionByName(placed, allowMissingColumns=True)
+        return (
+            spread_left.drop("_nq", "_ni").groupBy(*keys).cogroup(spread_right.groupBy(*keys))
+            .applyInArrow(lambda a, b: kernel(a, b, sketch), _sketch_schema(query_fields) if sketch else schema)
+        )
+
+    left = left.withColumn("_bound", F.lit(None).cast("double"))
+    if stripes > 1:
+        # only values come back, sorted here once a query; fewer than k of them bound nothing
+        values = search(left.where(F.col("_ni") > 1), True).groupBy("_seg", query_id).agg(
+            F.max("_k").alias("_k"), F.sort_array(F.flatten(F.collect_list("_values"))).alias("_values"))
+        bound = cut_lineage(values.select(
+            "_seg", query_id, (F.get("_values", F.col("_k") - 1) + BOUND_SLACK).alias("_bound")))
+        left = left.drop("_bound").join(bound, ["_seg", query_id], "left")
+    found = search(left, False)
     by = F.col(score).desc() if best_first else F.col(score).asc()
-    ranked = top_k(found, ["_seg", query_id], [by, F.col(item_id).asc()], k)
+    most = k if isinstance(k, int) else left.agg(F.max("_k")).first()[0] or 0
+    ranked = top_k(found, ["_seg", query_id], [by, F.col(item_id).asc()], most)
+    if isinstance(k, str):  # a query's own k; ranks above the largest are gone by now
+        own = left.select("_seg", query_id, "_k").distinct()
+        ranked = ranked.join(own, ["_seg", query_id]).where(F.col("rank") <= F.col("_k")).drop("_k")
     if segment:
         return ranked.withColumnRenamed("_seg", segment) if segment not in ranked.columns else ranked
     return ranked.drop("_seg")
 
 
+def _sketch_schema(query_fields: Sequence[T.StructField]) -> T.StructType:
+    return T.StructType([
+        *query_fields, T.StructField("_k", T.IntegerType()), T.StructField("_values", T.ArrayType(T.DoubleType()))])
+
+
 # --- helpers the kernels share -----------------------------------------------------
 def split_left(left: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Query rows and exclusion rows of one block."""
@@ -152,18 +194,44 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
 
 
-def best_rows(scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row, columns of the k smallest finite scores; ties go to the lower column."""
+def best_rows(scores: np.ndarray, k: np.ndarray, bound: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per row, columns of its ``k`` smallest finite scores within its ``bound``; ties go to the lower column."""
     width = scores.shape[1]
-    limit = np.partition(scores, k - 1, axis=1)[:, k - 1] if k < width else None
+    limit = np.full(len(scores), np.inf) if bound is None else np.where(np.isnan(bound), np.inf, bound)
+    for own in np.unique(k[(k < width) & (k > 0)]).tolist():
+        rows = np.flatnonzero(k == own)
+        limit[rows] = np.minimum(limit[rows], np.partition(scores[rows], own - 1, axis=1)[:, own - 1])
     picked = []
     for i, row in enumerate(scores):
-        near = np.isfinite(row) if limit is None else (row <= limit[i]) & np.isfinite(row)
-        columns = np.flatnonzero(near)
-        picked.append(columns[np.argsort(row[columns], kind="stable")][:k])
+        columns = np.flatnonzero((row <= limit[i]) & np.isfinite(row))
+        picked.append(columns[np.argsort(row[columns], kind="stable")][:k[i]])
     return picked
 
 
+def stripe_share(k: np.ndarray, stripes: int) -> np.ndarray:
+    """How many of a query's k best lie in one of ``stripes`` hashed blocks, by four standard deviations at most."""
+    mean = k / max(1, stripes)
+    return np.minimum(k, np.ceil(mean + 4 * np.sqrt(mean) + 4).astype(np.int64))
+
+
+def asked_k(queries: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each query row's k and bound (NaN if none), and the number of item blocks."""
+    bound = queries.column("_bound").to_numpy().astype(float)
+    return queries.column("_k").to_numpy().astype(np.int64), bound, queries.column("_stripes")[0].as_py()
+
+
+def sketch_table(seg: str, query_id: str, query_ids, k, values: list[np.ndarray]) -> pa.Table:
+    """The best values of every query of a block pair, without ids."""
+    return pa.table({
+        "_seg": pa.array([seg] * len(values), pa.string()), query_id: query_ids,
+        "_k": pa.array(k, pa.int32()), "_values": pa.array([v.tolist() for v in values], pa.list_(pa.float64())),
+    })
+
+
+def empty_sketch(query_id: str, left: pa.Table) -> pa.Table:
+    return sketch_table("", query_id, pa.array([], left.schema.field(query_id).type), [], [])
+
+
 def empty_result(seg_name: str, left: pa.Table, right: pa.Table, names: Sequence[str]) -> pa.Table:
     query_id, item_id, score = names
     return pa.table({

@@ -89,14 +89,14 @@ def query_terms(
     return weighted.select(query_id, "token", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def bm25_kernel(k: int, query_id: str, doc_id: str, score: str) -> blocks.Kernel:
+def bm25_kernel(query_id: str, doc_id: str, score: str) -> blocks.Kernel:
     """Best k by summed weight times impact inside one block pair."""
     names = (query_id, doc_id, score)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table, sketch: bool = False) -> pa.Table:
         terms, outs = blocks.split_left(left)
         if terms.num_rows == 0 or right.num_rows == 0:
-            return blocks.empty_result("_seg", left, right, names)
+            return blocks.empty_sketch(query_id, left) if sketch else blocks.empty_result("_seg", left, right, names)
         seg = terms.column("_seg")[0].as_py()
         doc_ids = pc.unique(right.column(doc_id))
         doc_ids = doc_ids.take(pc.sort_indices(doc_ids))
@@ -116,6 +116,11 @@ def bm25_kernel(k: int, query_id: str, doc_id: str, score: str) -> blocks.Kernel
         query_ids = pc.unique(owners)
         owner_at = pc.index_in(owners, query_ids).to_numpy()
         edges = np.searchsorted(owner_at, np.arange(len(query_ids) + 1))
+        if not len(query_ids):
+            return blocks.empty_sketch(query_id, left) if sketch else blocks.empty_result("_seg", left, right, names)
+        k, bound, stripes = blocks.asked_k(terms)
+        k, bound = k[edges[:-1]], bound[edges[:-1]]
+        wanted = blocks.stripe_share(k, stripes) if sketch else k
 
         out_query = pc.index_in(outs.column(query_id), query_ids)
         out_doc = pc.index_in(outs.column("_out"), doc_ids)
@@ -136,10 +141,12 @@ def bm25_kernel(k: int, query_id: str, doc_id: str, score: str) -> blocks.Kernel
             total[out_doc[out_edges[q]:out_edges[q + 1]]] = 0.0
             total = np.round(total, blocks.SCORE_DIGITS)
             lost = np.where(total > 0, -total, np.inf)
-            columns = blocks.best_rows(lost[None, :], k)[0]
+            columns = blocks.best_rows(lost[None, :], wanted[q:q + 1], bound[q:q + 1])[0]
             q_take.append(np.full(len(columns), q))
             d_take.append(columns)
-            values.append(total[columns])
+            values.append(lost[columns] if sketch else total[columns])
+        if sketch:
+            return blocks.sketch_table(seg, query_id, query_ids, k, values[1:])
         return blocks.result_table(
             seg, names, query_ids.take(pa.array(np.concatenate(q_take))),
             doc_ids.take(pa.array(np.concatenate(d_take))), np.concatenate(values),
@@ -158,15 +165,15 @@ def bm25_search(
 ) -> DataFrame:
     """``query_id, doc_id, bm25_score, rank``: the best k documents with a positive score.
 
-    ``index`` and ``stats`` may be tables written earlier. Documents are searched block by
-    block with their whole term lists, so a token that sits in most documents costs one
-    vector addition per query and block and is never joined pair by pair.
+    ``index`` and ``stats`` may be tables written earlier (``save_index``). Documents are searched block by
+    block; a posting is sent only to blocks of queries that hold its token, and a token that sits in most
+    documents costs one vector addition per query and block and is never joined pair by pair.
     """
     if index is None or stats is None:
         index, stats = build_index(docs, doc_id, doc_text, k1, b, stopwords)
     terms = query_terms(queries, stats, query_id, query_text, stopwords)
     return blocks.blocked_top_k(
-        terms, index.select(doc_id, "token", "impact"), bm25_kernel(k, query_id, doc_id, score), k,
-        query_id=query_id, item_id=doc_id, score=score, excluded=excluded, best_first=True,
+        terms, index.select(doc_id, "token", "impact"), bm25_kernel(query_id, doc_id, score), k,
+        query_id=query_id, item_id=doc_id, score=score, excluded=excluded, best_first=True, shared="token",
         query_block_rows=query_block_rows, item_block_rows=index_block_rows,
     )

@@ -16,17 +16,19 @@ from pairwright.operators.skew import top_k
 
 
 def cosine_kernel(
-    k: int, query_id: str, item_id: str, query_vector: str, item_vector: str,
+    query_id: str, item_id: str, query_vector: str, item_vector: str,
     score: str, band: tuple[float, float] | None = None, distance: bool = True,
     skip_self: bool = False,
 ) -> blocks.Kernel:
     """Best k by cosine inside one block pair; the band is applied before the cut."""
     names = (query_id, item_id, score)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table, sketch: bool = False) -> pa.Table:
         queries, outs = blocks.split_left(left)
         if queries.num_rows == 0 or right.num_rows == 0:
-            return blocks.empty_result("_seg", left, right, names)
+            return blocks.empty_sketch(query_id, left) if sketch else blocks.empty_result("_seg", left, right, names)
+        k, bound, stripes = blocks.asked_k(queries)
+        wanted = blocks.stripe_share(k, stripes) if sketch else k
         seg = queries.column("_seg")[0].as_py()
         order = pc.sort_indices(right.column(item_id))
         items = right.take(order)
@@ -53,10 +55,13 @@ def cosine_kernel(
                 mine = own[start:start + len(cos)].astype(float)
                 found = np.flatnonzero(~np.isnan(mine))
                 scores[found, mine[found].astype(np.int64)] = np.inf
-            for i, columns in enumerate(blocks.best_rows(scores, k)):
+            own_rows = slice(start, start + len(cos))
+            for i, columns in enumerate(blocks.best_rows(scores, wanted[own_rows], bound[own_rows])):
                 q_take.append(np.full(len(columns), start + i))
                 i_take.append(columns)
                 values.append(scores[i, columns])
+        if sketch:
+            return blocks.sketch_table(seg, query_id, query_ids, k, values)
         result = np.concatenate(values)
         return blocks.result_table(
             seg, names, query_ids.take(pa.array(np.concatenate(q_take))),
@@ -68,7 +73,7 @@ def cosine_kernel(
 
 
 def vector_topk_join(
-    queries: DataFrame, items: DataFrame, k: int, *,
+    queries: DataFrame, items: DataFrame, k: int | str, *,
     query_id: str = "query_id", item_id: str = "item_id",
     query_vector: str = "query_vector", item_vector: str = "item_vector",
     score: str = "distance", excluded: DataFrame | None = None, segment: str | None = None,
@@ -77,17 +82,18 @@ def vector_topk_join(
 ) -> DataFrame:
     """The k nearest items of every query by cosine distance, exactly.
 
-    Exclusions, band and segment take effect before the cut to k. Distances are rounded to
+    ``k`` is a number, or a column of ``queries`` if each asks for its own number. Exclusions, band and segment take effect before the cut to k. Distances are rounded to
     nine digits and equal distances are ordered by item id. Vectors without length have
     similarity 0 to everything; rows with a null vector take no part.
     """
     cols = [segment] if segment else []
+    own = [k] if isinstance(k, str) else []
     queries, items = queries.where(F.col(query_vector).isNotNull()), items.where(F.col(item_vector).isNotNull())
     kernel = cosine_kernel(
-        k, query_id, item_id, query_vector, item_vector, score, band, not similarity, skip_self
+        query_id, item_id, query_vector, item_vector, score, band, not similarity, skip_self
     )
     return blocks.blocked_top_k(
-        queries.select(*cols, query_id, query_vector), items.select(*cols, item_id, item_vector),
+        queries.select(*cols, *own, query_id, query_vector), items.select(*cols, item_id, item_vector),
         kernel, k, query_id=query_id, item_id=item_id, score=score, segment=segment,
         excluded=excluded, best_first=similarity,
         query_block_rows=query_block_rows, item_block_rows=item_block_rows,

@@ -38,11 +38,12 @@ def excluded_pairs(requests: DataFrame, applied: DataFrame, rejected: DataFrame,
 
 def ranked_matches(
     requests: DataFrame, jobs: DataFrame, applied: DataFrame, rejected: DataFrame,
-    cooled: DataFrame, bridge: DataFrame | None = None, k: int = 3 * fv.WINDOW_ROWS,
+    cooled: DataFrame, bridge: DataFrame | None = None, k: int | str = 3 * fv.WINDOW_ROWS,
     filtered: bool = True,
 ) -> DataFrame:
     """``request_id, job_id, distance, score, rank``: nearest eligible jobs per request.
 
+    ``k`` is a number or a column of ``requests`` with each request's own number.
     Filters and exclusions act before the cut to k. Requests with equal filters form one
     segment, whose eligible jobs are looked up once and searched block by block.
     """
@@ -74,7 +75,7 @@ def search_by_date_requests(
 
     The request's filters and exclusions act first; then jobs are newest first, unknown dates before all,
     ties by id, and the page holds the ranks offset + 1 to offset + ``page_rows``. Requests with equal filters share
-    their newest jobs, of which only as many are kept as the deepest page and the exclusions can use.
+    their newest jobs, of which only as many are kept as their deepest page and their exclusions can use.
     """
     pairs, cold = excluded_pairs(requests, applied, rejected, cooled)
     pairs = pairs.distinct()
@@ -84,11 +85,12 @@ def search_by_date_requests(
     deepest = signed.agg(F.max("_need")).first()[0] or 0
     forms = signed.groupBy("signature").agg(
         F.first(F.struct(*FILTER_COLUMNS), ignorenulls=False).alias("_f")).select("signature", "_f.*")
+    depth = signed.groupBy("signature").agg(F.max("_need").alias("_depth"))
     live = jobs.join(cold, "job_id", "left_anti")
     newest = [F.col("posted_date").desc_nulls_first(), F.col("job_id").asc()]
     members = top_k(
         eligible_pairs(forms, live, bridge, keep=("posted_date",), request_id="signature"), ["signature"], newest,
-        int(deepest), "_at")
+        int(deepest), "_at").join(depth, "signature").where(F.col("_at") <= F.col("_depth")).drop("_depth")
     asked = signed.select("request_id", "signature", "offset", "_need")
     own = members.join(asked, "signature").where(F.col("_at") <= F.col("_need")).join(
         pairs, ["request_id", "job_id"], "left_anti")
@@ -97,11 +99,9 @@ def search_by_date_requests(
         "request_id", "job_id", "posted_date", "rank")
 
 
-def ranks_needed(requests: DataFrame) -> int:
-    """Deepest rank any page of the request table can show."""
-    last = F.array_max(page_windows(F.col("offset")))
-    deepest = requests.agg(F.max(last).alias("w")).first()["w"]
-    return (int(deepest or 0) + 1) * fv.WINDOW_ROWS
+def ranks_needed(offset: Column) -> Column:
+    """The deepest rank that the page at an offset can show."""
+    return ((F.array_max(page_windows(offset)) + 1) * fv.WINDOW_ROWS).cast("int")
 
 
 def short_requests(requests: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def match_user_jobs(
     requests = every.where(F.col("request_vector").isNotNull())
     # the ranked table is read by several branches below: search once, write once
     ranked = cut_lineage(ranked_matches(
-        requests, jobs, applied, rejected, cooled, bridge, k=ranks_needed(requests)
+        requests.withColumn("_ranks", ranks_needed(F.col("offset"))), jobs, applied, rejected, cooled, bridge, k="_ranks"
     ))
     dates = jobs.select("job_id", "posted_date")
     asked = requests.select("request_id", "sort_type", score_threshold(F.col("fields")).alias("_threshold"))
