@@ -115,8 +115,10 @@ def blocked_top_k(
     if shared is None:
         spread_right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
     else:
-        asked = left.select("_seg", shared, F.col("_qb").alias("_to")).distinct()
-        spread_right = right.join(asked, ["_seg", shared]).withColumn("_qb", F.col("_to")).drop("_to")
+        # without segments the column alone is the key, so items bucketed by it are joined where they lie
+        on = ["_seg", shared] if segment else [shared]
+        asked = left.select(*on, F.col("_qb").alias("_to")).distinct()
+        spread_right = right.join(asked, on).withColumn("_qb", F.col("_to")).drop("_to")
     spread_right = spread_right.drop("_nq", "_ni")
     placed = None
     if excluded is not None:

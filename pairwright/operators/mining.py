@@ -68,7 +68,7 @@ def mine_combined_negatives(
 def build_training_dataset(
     resumes: DataFrame, jobs: DataFrame, applications: DataFrame,
     k: int = fv.NEGATIVES_PER_SAMPLE, band: tuple[float, float] = fv.SIMILARITY_BAND,
-    source: str = "application",
+    source: str = "application", index: DataFrame | None = None, stats: DataFrame | None = None,
 ) -> DataFrame:
     """One sample per (resume, application to a job with text).
 
@@ -84,7 +84,7 @@ def build_training_dataset(
     active = usable.join(applied.select("user_id"), "user_id", "left_semi")
     positives = active.select("resume_id", "user_id").join(applied, "user_id").select("resume_id", "job_id")
     texts = jobs.where(F.coalesce("text", F.lit("")) != "")
-    mined = mine_combined_negatives(active, texts, positives, k, band)
+    mined = mine_combined_negatives(active, texts, positives, k, band, index, stats)
     negatives = (
         mined.join(texts.select("job_id", F.col("text").alias("_t"), F.col("job_vector").alias("_v")), "job_id")
         .groupBy("resume_id")

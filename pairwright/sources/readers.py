@@ -200,3 +200,8 @@ def scan_company_logo_map(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("position"),
     )
+
+
+def saved_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """(index, stats) as ``save_index`` stored them."""
+    return spark.table(f"{name}_index"), spark.table(f"{name}_stats")

@@ -62,8 +62,12 @@ def upsert_table(updated: DataFrame, path: str) -> None:
     updated.write.mode("overwrite").parquet(path)
 
 
-def bm25_tables(index: DataFrame, stats: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Store the term index and its statistics for later searches."""
-    for name, table, key in (("index", index, "doc_id"), ("stats", stats, "token")):
-        placed = table.repartition(buckets, key) if buckets else table
-        placed.write.mode("overwrite").parquet(f"{path}/{name}")
+def save_index(index: DataFrame, stats: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Store the term index and its statistics as tables ``name_index`` and ``name_stats`` below ``path``.
+
+    Both are bucketed and sorted by token, one file a bucket, so searches join them by token without a shuffle.
+    Choose ``buckets`` so that one holds some hundred MB.
+    """
+    for kind, table in (("index", index), ("stats", stats)):
+        table.repartition(buckets, "token").write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").option(
+            "path", f"{path}/{kind}").saveAsTable(f"{name}_{kind}")

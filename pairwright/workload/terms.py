@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairwright.operators import mining, terms
 from pairwright.session import scratch_path
-from pairwright.sources.writers import bm25_tables
+from pairwright.sources.readers import saved_index
+from pairwright.sources.writers import save_index
 from pairwright.workload import tables as t
 from pairwright.workload.registry import query
 
@@ -31,27 +34,38 @@ def _(spark, sf):
 
 @query("bm25_index_table", f"WITH {POSTINGS} SELECT doc_id, count(*) AS terms, round(sum(impact), 6) AS impact FROM impact GROUP BY 1")
 def _(spark, sf):
-    """The index written to and read from the shared folder, summed per document."""
-    docs = t.documents(spark, sf)
-    path = scratch_path(spark, "bm25")
-    bm25_tables(terms.bm25_index_table(docs), terms.bm25_corpus_stats(docs), path)
-    return spark.read.parquet(f"{path}/index").groupBy("doc_id").agg(
+    """The index as a bucketed table in the shared folder, summed per document."""
+    index, _ = saved(spark, t.documents(spark, sf))
+    return index.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum("impact"), 6).alias("impact"))
 
 
+def saved(spark, docs, doc_id="doc_id"):
+    """(index, stats) of documents, written as tables bucketed by token and read from there."""
+    name = f"bm25_{uuid.uuid4().hex}"
+    save_index(*terms.build_index(docs, doc_id), name, scratch_path(spark, "bm25"), spark.sparkContext.defaultParallelism)
+    return saved_index(spark, name)
+
+
 def benchmark_queries(spark, sf):
     return t.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), t.ascii_text().alias("text"))
 
 
 def applied_docs(spark, sf):
-    """(query, document) pairs to leave out, from events of a kind."""
+    """(query, document) pairs to leave out, from events of a kind; the ids are spread over all queries and documents."""
+    asked, docs = (t.table(spark, sf, name).count() for name in ("benchmark", "documents"))
     return t.table(spark, sf, "events").where("event_type = 'error'").select(
-        (F.col("user_id") % 40).alias("query_id"), (F.col("event_id") % 1000).alias("doc_id")).distinct()
+        (F.col("user_id") % asked).alias("query_id"), (F.col("event_id") % docs).alias("doc_id")).distinct()
+
+
+#: What ``applied_docs`` gives.
+LEFT_OUT = """SELECT user_id % (SELECT count(*) FROM benchmark) AS u, event_id % (SELECT count(*) FROM documents) AS j
+  FROM events WHERE event_type = 'error'"""
 
 
 @query("bm25_search", f"""WITH {SEARCH} SELECT query_id, doc_id, round(s, 6) AS bm25_score, rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM found WHERE s > 0 AND (query_id, doc_id) NOT IN
-  (SELECT user_id % 40, event_id % 1000 FROM events WHERE event_type = 'error')) WHERE rank <= 20""")
+  ({LEFT_OUT})) WHERE rank <= 20""")
 def _(spark, sf):
     found = terms.bm25_search(
         benchmark_queries(spark, sf), t.documents(spark, sf), 20, excluded=applied_docs(spark, sf))
@@ -82,7 +96,7 @@ def positives(spark, sf):
 
 
 BAND = (0.05, 0.9)
-OUT = "(SELECT user_id % 40, event_id % 1000 FROM events WHERE event_type = 'error')"
+OUT = f"({LEFT_OUT})"
 
 
 def mined_sql(k_bm25, k_emb):
@@ -104,7 +118,9 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDE
 
 @query("mine_bm25_negatives", f"WITH {mined_sql(21, 21)} SELECT resume_id, job_id, round(s, 6) AS bm25_score, rank FROM bk")
 def _(spark, sf):
-    mined = mining.mine_bm25_negatives(resumes(spark, sf), job_documents(spark, sf), positives(spark, sf))
+    jobs = job_documents(spark, sf)
+    index, stats = saved(spark, jobs, "job_id")
+    mined = mining.mine_bm25_negatives(resumes(spark, sf), jobs, positives(spark, sf), index=index, stats=stats)
     return mined.withColumn("bm25_score", F.round("bm25_score", 6))
 
 
@@ -125,9 +141,18 @@ def _(spark, sf):
 @query("build_training_dataset", f"""WITH {mined_sql(14, 14)}, n AS (SELECT resume_id, string_agg(job_id, ',' ORDER BY rank) AS negatives FROM best GROUP BY 1)
   SELECT a.item_id::VARCHAR AS resume_id, d.doc_id::VARCHAR AS positive_job_id, coalesce(negatives, '') AS negatives,
   sha256(a.item_id || '|' || d.doc_id) AS sample_id
-  FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id JOIN (SELECT DISTINCT user_id % 40 AS u, event_id % 1000 AS j FROM events WHERE event_type = 'error') p ON p.u = a.item_id
+  FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id JOIN (SELECT DISTINCT u, j FROM ({LEFT_OUT})) p ON p.u = a.item_id
   JOIN documents d ON d.doc_id = p.j LEFT JOIN n ON n.resume_id = a.item_id WHERE d.text <> ''""")
 def _(spark, sf):
     made = mining.build_training_dataset(
         resumes(spark, sf), job_documents(spark, sf), applications(spark, sf), band=BAND)
     return made.select("sample_id", "resume_id", "positive_job_id", F.array_join("hard_negative_job_ids", ",").alias("negatives"))
+
+
+@query("training_set_size", f"""WITH applied AS (SELECT DISTINCT u, j FROM ({LEFT_OUT}))
+  SELECT count(*) AS samples, 1000 AS needed, count(*) >= 1000 AS enough FROM benchmark a JOIN embeddings e ON e.vec_id = a.item_id
+  JOIN applied ON u = a.item_id JOIN documents d ON d.doc_id = j WHERE d.text <> '' AND a.text <> ''""")
+def _(spark, sf):
+    """Whether the training set is large enough."""
+    return mining.enough_samples(mining.build_training_dataset(
+        resumes(spark, sf), job_documents(spark, sf), applications(spark, sf), band=BAND))

@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import blocks, terms, vectors
+from pairwright.session import scratch_path
+from pairwright.sources.readers import saved_index
+from pairwright.sources.writers import save_index
 from tests.conftest import rows
 
 N_QUERIES, N_ITEMS, K = 40, 2000, 25
@@ -79,3 +82,32 @@ def test_postings_go_only_to_blocks_that_ask(spark):
     found = blocks.blocked_top_k(terms.query_terms(asked, stats), index.select("doc_id", "token", "impact"), kernel, 99,
                                  query_id="query_id", item_id="doc_id", score="s", shared="token")
     assert found.count() == 4
+
+
+def test_a_saved_index_is_joined_where_it_lies(spark):
+    docs = spark.createDataFrame([(i, f"common rare{i} word{i % 3}x") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "rare7 common"), (2, "word1x")], "query_id long, text string")
+    save_index(*terms.build_index(docs), "kept", scratch_path(spark, "kept"), 4)
+    index, stats = saved_index(spark, "kept")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        found = terms.bm25_search(asked, docs, 5, index=index, stats=stats)
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = sorted(rows(found))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == sorted(rows(terms.bm25_search(asked, docs, 5)))
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and "kept_index" in line]
+    assert scans
+    for at in scans:
+        level, above = depth(plan[at]), []
+        for line in reversed(plan[:at]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line)
+        joined = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any("Exchange" in line for line in above[:joined])
