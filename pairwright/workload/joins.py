@@ -226,7 +226,7 @@ def _(spark, sf):
 
 
 @query("skill_pair_join", f"""WITH {GRAPH},
-  sims AS (SELECT src AS skill1, dst AS skill2, max(weight) AS similarity FROM edges WHERE weight > 0.8 GROUP BY 1, 2),
+  sims AS (SELECT src AS skill1, dst AS skill2, max(weight) AS similarity FROM edges GROUP BY 1, 2),
   held AS (SELECT DISTINCT l_orderkey AS id, 'p' || l_partkey AS skill FROM lineitem),
   asked AS (SELECT o_orderkey AS left_id, o_orderkey + 1 AS right_id FROM orders)
   SELECT left_id, right_id, skill1, skill2, similarity FROM asked JOIN held a ON a.id = left_id JOIN held b ON b.id = right_id
@@ -240,7 +240,7 @@ def _(spark, sf):
     asked = t.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("left_id"), (F.col("o_orderkey") + 1).alias("right_id"))
     _, relations = part_graph(spark, sf)
-    sims = graph_ops.skill_edges(relations).where("weight > 0.8").groupBy(
+    sims = graph_ops.skill_edges(relations).groupBy(
         F.col("src").alias("skill1"), F.col("dst").alias("skill2")).agg(F.max("weight").alias("similarity"))
     return joins.skill_pair_join(
         held.withColumnRenamed("l_orderkey", "left_id"), held.withColumnRenamed("l_orderkey", "right_id"), asked, sims)

@@ -141,7 +141,7 @@ def part_graph(spark, sf):
         F.col("p_brand").alias("category"), F.array(F.col("p_type")).alias("aliases"),
         F.col("p_partkey").cast("int").alias("seq"),
     )
-    lines = t.table(spark, sf, "lineitem").where("l_discount >= 0.09").groupBy("l_orderkey", "l_linenumber").agg(
+    lines = t.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("a"), F.max("l_discount").alias("d"), F.max("l_returnflag").alias("f")
     )
     other = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("a").alias("b"))
@@ -159,7 +159,7 @@ def part_graph(spark, sf):
 GRAPH = """
 parts AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand AS category, p_type AS alias, p_partkey AS seq FROM part),
 lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS a, max(l_discount) AS d, max(l_returnflag) AS f
-  FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
 links AS (SELECT x.a, y.a AS b, max(x.d) AS d, min(x.f) AS f FROM lines x JOIN lines y
   ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.a <> y.a GROUP BY 1, 2),
 relations AS (SELECT 'p' || a AS source, 'p' || b AS target,
