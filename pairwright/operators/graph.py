@@ -15,6 +15,9 @@ from pairwright import fixed_values as fv
 from pairwright.operators.skew import salted_join
 from pairwright.session import cut_lineage
 
+#: Nodes with more edges than this are heavy: their neighbours are never gathered in one row.
+LIGHT_DEGREE = 1000
+
 SKILL_SCHEMA = "id string, name string, category string, aliases array<string>, seq int"
 RELATION_SCHEMA = "source string, target string, relation string, weight double, seq bigint"
 
@@ -146,6 +149,27 @@ def skill_subgraph(
     return nodes, inside
 
 
+def _neighbour_hashes(edges: DataFrame, node: str, other: str, name: str) -> DataFrame:
+    """(node, name): hashes of the nodes beside a light node, null for a heavy one, whose list has no bound."""
+    degree = edges.groupBy(node).agg(F.count(F.lit(1)).alias("_n"))
+    light = edges.join(degree.where(F.col("_n") <= LIGHT_DEGREE), node, "left_semi").groupBy(node).agg(
+        F.collect_set(F.hash(other)).alias(name))
+    heavy = degree.where(F.col("_n") > LIGHT_DEGREE).select(node, F.lit(None).cast("array<int>").alias(name))
+    return light.unionByName(heavy)
+
+
+def _with_common_node(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The asked pairs that a two-edge path may join.
+
+    Pairs of light nodes need a common hash between the first one's targets and the second one's sources, which
+    rules most of them out before any edge is joined. Pairs with a heavy node go on to the salted join.
+    """
+    after = _neighbour_hashes(edges, "src", "dst", "_after").withColumnRenamed("src", "skill1")
+    before = _neighbour_hashes(edges, "dst", "src", "_before").withColumnRenamed("dst", "skill2")
+    near = asked.join(after, "skill1").join(before, "skill2")
+    return near.where(F.coalesce(F.arrays_overlap("_after", "_before"), F.lit(True))).select("skill1", "skill2")
+
+
 def skill_similarity(pairs: DataFrame, skills: DataFrame, edges: DataFrame) -> DataFrame:
     """Similarity of asked (skill1, skill2) pairs, in the direction of the edges.
 
@@ -158,7 +182,7 @@ def skill_similarity(pairs: DataFrame, skills: DataFrame, edges: DataFrame) -> D
         ["skill1", "skill2"],
     ).groupBy("skill1", "skill2").agg(F.min_by("weight", "seq").alias("_direct"))
     firsts = salted_join(
-        asked, edges.select(F.col("src").alias("skill1"), F.col("dst").alias("_mid"),
+        _with_common_node(asked, edges), edges.select(F.col("src").alias("skill1"), F.col("dst").alias("_mid"),
                             F.col("weight").alias("_w1"), F.col("seq").alias("_s1")),
         ["skill1"], salts=4,
     )
@@ -185,18 +209,17 @@ def skill_similarity(pairs: DataFrame, skills: DataFrame, edges: DataFrame) -> D
     return joined.select("skill1", "skill2", value.alias("similarity"))
 
 
-def linked_similarities(skills: DataFrame, edges: DataFrame, above: float = 0.3) -> DataFrame:
-    """All (skill1, skill2) pairs joined by one or two edges with similarity above a bound.
+def match_similarities(matches: DataFrame, skills: DataFrame, edges: DataFrame, above: float = 0.3,
+                       resume_skills: str = "resume_skills", job_skills: str = "job_skills") -> DataFrame:
+    """``skill1, skill2, similarity`` above a bound, of the pairs that a match asks for.
 
-    Pairs that share only a category stay at 0.3 and are never built.
+    Those are a skill that only the resume holds and one that only the job asks for; no other pair is looked up.
     """
-    links = edges.select(F.col("src").alias("skill1"), F.col("dst").alias("skill2")).distinct()
-    steps = salted_join(
-        links.select("skill1", F.col("skill2").alias("_mid")),
-        links.select(F.col("skill1").alias("_mid"), "skill2"), ["_mid"], salts=4,
-    ).select("skill1", "skill2")
-    pairs = links.unionByName(steps).distinct().where(F.col("skill1") != F.col("skill2"))
-    return skill_similarity(pairs, skills, edges).where(F.col("similarity") > above)
+    none = F.array().cast("array<string>")
+    mine, wanted = F.coalesce(resume_skills, none), F.coalesce(job_skills, none)
+    asked = matches.select(F.array_except(mine, wanted).alias("_l"), F.array_except(wanted, mine).alias("_r")).select(
+        F.explode("_l").alias("skill1"), "_r").select("skill1", F.explode("_r").alias("skill2"))
+    return skill_similarity(asked, skills, edges).where(F.col("similarity") > above)
 
 
 def graph_statistics(skills: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pairwright.operators import explain
 from pairwright.operators import graph as graph_ops
 from pairwright.operators.skills import skill_overlap as overlaps
 from pairwright.plans.retrieval import explained_matches
+from pairwright.session import cut_lineage
 from pairwright.workload import tables as t
 from pairwright.workload.registry import query
 from pairwright.workload.rollups import rounded
@@ -80,8 +81,8 @@ def _(spark, sf):
 
 def with_related(spark, sf):
     parts, relations = part_graph(spark, sf)
-    similar = graph_ops.linked_similarities(parts, graph_ops.skill_edges(relations))
     rows = matches(spark, sf)
+    similar = cut_lineage(graph_ops.match_similarities(rows, parts, graph_ops.skill_edges(relations)))
     sides = [rows.select(k, F.explode(f"{k[:-3]}_skills").alias("skill")) for k in ("resume_id", "job_id")]
     related = explain.related_skill_lists(rows, *sides, similar)
     return rows.join(related, ["resume_id", "job_id"], "left"), similar
