@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contained_items
 from pairwright.llm.licenses import TEMPLATES, license_report
-from pairwright.llm.lines import remove_boilerplate
+from pairwright.llm.lines import LONG_SITES, LONG_WORDS, MIN_SITES, remove_boilerplate
 from pairwright.llm.neardup import near_duplicates
 from pairwright.llm.packing import pack
 from pairwright.llm.pii import find_personal_data
@@ -59,12 +59,12 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@_query("op6_boilerplate_lines", r"""
+@_query("op6_boilerplate_lines", rf"""
 WITH l AS (SELECT doc_id, source, line, i FROM (
              SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
      b AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE regexp_matches(line, '\S') GROUP BY line
-           HAVING count(DISTINCT source) >= 10),
+           HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(line, '\S+')) > {LONG_WORDS} THEN {LONG_SITES} ELSE {MIN_SITES} END),
      m AS (SELECT l.*, b.line IS NOT NULL AND l.doc_id <> b.first_doc AS gone FROM l LEFT JOIN b ON l.line = b.line)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
        count(*) FILTER (gone) AS n_removed
@@ -157,7 +157,7 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}', '{naming}', '{refused}')" for i, (label, text, naming, refused) in enumerate(TEMPLATES))
 
 
 def _license_words(text: str) -> str:
@@ -174,11 +174,14 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
            FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
      b AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list_distinct(list(label)) AS labels
            FROM p WHERE label IS NOT NULL GROUP BY r),
-     t AS (SELECT k, label, list_distinct({_license_words("statement")}) AS w FROM (VALUES {_TEMPLATES}) AS t(k, label, statement)),
-     tw AS (SELECT k, label, len(w) AS size, unnest(w) AS word FROM t),
-     l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-     lw AS (SELECT r, i, unnest(list_distinct({_license_words("line")})) AS word FROM l),
-     m AS (SELECT r, i, k, label, size, count(*) AS n FROM lw JOIN tw USING (word) GROUP BY ALL HAVING count(*) * 100 >= size * 80),
+     t AS (SELECT k, label, {_license_words("statement")} AS s, {_license_words("naming")} AS naming, {_license_words("refused")} AS refused
+           FROM (VALUES {_TEMPLATES}) AS t(k, label, statement, naming, refused)),
+     l AS (SELECT r, {_license_words("line")} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+           UNION ALL SELECT r, w FROM w),
+     x AS (SELECT r, label, list_distinct(s) AS words, naming, refused, len(s) AS n, b, unnest(range(1, greatest(len(b) - len(s) + 1, 1) + 1)) AS i
+           FROM l JOIN t ON list_has_all(b, naming)),
+     y AS (SELECT r, label, words, b[i : i + n - 1] AS run FROM x WHERE list_has_all(b[i : i + n - 1], naming) AND NOT list_has_any(b[i : i + n - 1], refused)),
+     m AS (SELECT r, label, len(list_intersect(words, run)) AS n, len(words) AS size FROM y WHERE len(list_intersect(words, run)) * 100 >= len(words) * 80),
      o AS (SELECT r, list_distinct(list(label)) AS own, max(n / size) AS best FROM m GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
        array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,

@@ -294,3 +294,29 @@ def test_statements_wrapped_over_lines_are_found(spark):
     keyed = docs.where("doc_id = 2").select(F.col("doc_id").alias("digest"), F.col("text").alias("body"))
     met = licenses.matching_blocks(keyed, licenses.template_table(spark)).collect()
     assert {(r.label, r.containment) for r in met} == {("gpl", 1.0)} and all(r.block < 0 for r in met)
+
+
+def test_the_word_that_names_a_license_must_be_there(spark):
+    cases = {
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "This work is licensed under a Creative Commons\nAttribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "Licensed under the Mozilla Public License, Version 2.0": "mpl",
+        "Released under the BSD License": "bsd",
+        "Released under the MIT License": "mit",
+        "released by the studio " + "la mit po " * 60 + "under a license": "",
+        "spdx-license-identifier: Apache-2.0": "apache",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+        "Licensed under the Public License, Version 2.0": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_report(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_templates_without_naming_words_look_at_every_text(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "none")], "doc_id long, text string")
+    own = licenses.template_table(spark, [("own", "alpha beta gamma delta epsilon zeta")])
+    assert {r.doc_id: r.labels for r in licenses.license_report(docs, own).collect()} == {1: "own", 2: ""}
