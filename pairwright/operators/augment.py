@@ -43,6 +43,20 @@ def _least_drawn(places: Column, count: Column, row: Column, choice: str) -> Col
     return F.transform(F.slice(drawn, F.lit(1), count), lambda d: d["i"])
 
 
+def _drawn_flags(places: Column, count: Column, row: Column, choice: str, able: Callable[[Column], Column] | None = None) -> Column:
+    """For every place from 0 on whether its draw is among the ``count`` smallest of the able places.
+
+    Each place is compared with the last draw that counts, so the work grows with the text's length alone.
+    """
+    def draw(i: Column) -> Column:
+        own = F.struct(_draw(row, choice, i).alias("d"), i.alias("i"))
+        return own if able is None else F.when(able(i), own)
+
+    return let(F.transform(places, draw), lambda drawn: let(
+        let(F.array_sort(F.array_compact(drawn)), lambda order: F.get(order, F.least(count, F.size(order)) - 1)),
+        lambda last: F.transform(drawn, lambda own: F.coalesce(own <= last, F.lit(False)))))
+
+
 def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(text, EDGE_BLANKS, ""), r"\s+")
 
@@ -70,17 +84,16 @@ def replace_synonyms(text: Column, row: Column) -> Column:
         F.lit(word), F.array(*[F.lit(o) for o in others]))])
 
     def change(words: Column, row: Column) -> Column:
-        spots = F.filter(_places(words), lambda i: F.map_contains_key(table, F.lower(F.get(words, i))))
-
         def replaced(chosen: Column) -> Column:
             def one(word: Column, i: Column) -> Column:
                 other = _pick(F.try_element_at(table, F.lower(word)), row, "synonym-word", i)
                 capital = F.concat(F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 99))
-                return F.when(F.array_contains(chosen, i), F.when(word.rlike("^[A-Z]"), capital).otherwise(other)).otherwise(word)
+                return F.when(F.get(chosen, i), F.when(word.rlike("^[A-Z]"), capital).otherwise(other)).otherwise(word)
 
-            return F.when(F.size(chosen) > 0, F.transform(words, one))
+            return F.when(F.array_contains(chosen, True), F.transform(words, one))
 
-        return let(_least_drawn(spots, _changes(words), row, "synonym"), replaced)
+        known = lambda i: F.map_contains_key(table, F.lower(F.get(words, i)))
+        return let(_drawn_flags(_places(words), _changes(words), row, "synonym", known), replaced)
 
     return _word_edit(change, text, row)
 
@@ -91,9 +104,9 @@ def insert_fillers(text: Column, row: Column) -> Column:
     def change(words: Column, row: Column) -> Column:
         def filled(chosen: Column) -> Column:
             return F.array_compact(F.flatten(F.transform(_places(words, beyond=1), lambda i: F.array(
-                F.when(F.array_contains(chosen, i), _pick(fillers, row, "filler", i)), F.get(words, i)))))
+                F.when(F.get(chosen, i), _pick(fillers, row, "filler", i)), F.get(words, i)))))
 
-        return let(_least_drawn(_places(words, beyond=1), _changes(words), row, "insert"), filled)
+        return let(_drawn_flags(_places(words, beyond=1), _changes(words), row, "insert"), filled)
 
     return _word_edit(change, text, row)
 
@@ -103,10 +116,10 @@ def swap_neighbours(text: Column, row: Column) -> Column:
 
     def change(words: Column, row: Column) -> Column:
         shift = F.pmod(_number(_draw(row, "swap-shift")), F.lit(2)).cast("int")
-        firsts = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: i % 2 == shift)
-        return let(_least_drawn(firsts, _changes(words), row, "swap"), lambda chosen: F.transform(
-            words, lambda word, i: F.when(F.array_contains(chosen, i), F.get(words, i + 1)).when(
-                F.array_contains(chosen, i - 1), F.get(words, i - 1)).otherwise(word)))
+        firsts = _drawn_flags(F.sequence(F.lit(0), F.size(words) - 2), _changes(words), row, "swap", lambda i: i % 2 == shift)
+        return let(firsts, lambda chosen: F.transform(
+            words, lambda word, i: F.when(F.get(chosen, i), F.get(words, i + 1)).when(
+                F.get(chosen, i - 1), F.get(words, i - 1)).otherwise(word)))
 
     return _word_edit(change, text, row)
 
