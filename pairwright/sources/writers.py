@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import search_tokens
@@ -57,6 +57,34 @@ def sink_search_requests(requests: DataFrame, path: str, checkpoint: str | None
     return None
 
 
+def retain_days(spark: SparkSession, path: str, before: Column, time: str = "time", day: str = "day") -> int:
+    """Delete the rows of a parquet table, partitioned by the ``day`` of ``time``, that are older than ``before``.
+
+    Only days that hold such rows are touched: the day of ``before`` is read and overwritten alone, earlier
+    days are removed without reading their rows' values. Returns the number of deleted rows. Rows without a time stay.
+    A day is replaced as a whole or not at all, and a second run after a lost one deletes what is left; its count
+    then tells the rest only.
+    """
+    table = spark.read.parquet(path)
+    last = F.to_date(before)
+    whole = [r[0] for r in table.where(F.col(day) < last).select(day).distinct().collect()]  # one row a day
+    deleted = table.where(F.col(day) < last).count()
+    seen = Observation()
+    kept = table.where(F.col(day) == last).observe(
+        seen, F.count_if(F.col(time) < before).alias("deleted"), F.count(F.lit(1)).alias("rows")
+    ).where(F.col(time) >= before)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    found = seen.get
+    deleted += found["deleted"]
+    if found["deleted"] and found["deleted"] == found["rows"]:  # nothing was left to overwrite the day with
+        whole += [r[0] for r in table.where(F.col(day) == last).select(day).limit(1).collect()]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for gone in whole:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={gone}")
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return deleted
+
+
 def upsert_table(updated: DataFrame, path: str) -> None:
     """Replace a table's content; write beside the source, never over a path being read."""
     updated.write.mode("overwrite").parquet(path)

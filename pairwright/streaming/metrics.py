@@ -14,15 +14,29 @@ from pairwright.functions.scores import duration_category, query_duration_catego
 from pairwright.functions.text import let
 
 
-def timed(events: DataFrame, time: str, watermark: str) -> DataFrame:
-    """Events with a watermark on streams; plain wall-clock times get the session's zone first."""
-    if not events.isStreaming:
+def timed(events: DataFrame, time: str, watermark: str | None) -> DataFrame:
+    """Events with a watermark on streams; plain wall-clock times get the session's zone first.
+
+    None leaves a watermark that the stream already has.
+    """
+    if not events.isStreaming or watermark is None:
         return events
     if events.schema[time].dataType.simpleString() == "timestamp_ntz":
         events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, watermark)
 
 
+def once(events: DataFrame, key: str, time: str = "ts", watermark: str = "1 minute") -> DataFrame:
+    """Events without retries: the first row of each ``key``.
+
+    On a stream the key is remembered until the watermark passes, so a retry has to come within it; one that comes
+    later is dropped as late by the windows behind. Give those ``watermark=None``.
+    """
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
+    return timed(events, time, watermark).dropDuplicatesWithinWatermark([key])
+
+
 def parse_statsd(lines: DataFrame, value: str = "value") -> DataFrame:
     """``name:value|type|@rate|#k:v,...`` to columns; malformed lines are dropped.
 
@@ -60,7 +74,7 @@ def parse_statsd(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def statsd_rollup(
     metrics: DataFrame, time: str = "ts", by_tags: bool = False, seconds: int = fv.FLUSH_SECONDS,
-    watermark: str = "1 minute",
+    watermark: str | None = "1 minute",
 ) -> DataFrame:
     """Per flush window and metric: counter sum, last gauge, timer and histogram summary.
 
@@ -91,7 +105,7 @@ def carry_gauges(rolled: DataFrame) -> DataFrame:
     """Gauge rows of a roll-up with the window start until which each value is kept.
 
     A gauge keeps its value over windows without one; ``valid_until`` is null for the value
-    in force. Batch only.
+    in force. Batch only; ``streaming.state.carry_gauges_stream`` is the form for streams.
     """
     gauges = rolled.where(F.col("type") == "g")
     keys = ["name"] + (["tags"] if "tags" in rolled.columns else [])
@@ -103,7 +117,7 @@ def carry_gauges(rolled: DataFrame) -> DataFrame:
 
 def http_request_rollup(
     requests: DataFrame, time: str = "ts", seconds: int = fv.FLUSH_SECONDS,
-    watermark: str = "1 minute", slow_ms: float = fv.SLOW_REQUEST_MS,
+    watermark: str | None = "1 minute", slow_ms: float = fv.SLOW_REQUEST_MS,
 ) -> DataFrame:
     """Per window, method, route and status range: counts, errors, durations, sizes, slow ones.
 
@@ -173,7 +187,7 @@ def slow_operation_events(
 def operation_outcomes(
     events: DataFrame, operation: str = "operation", error_type: str = "error_type",
     duration: str = "duration_ms", time: str | None = None, seconds: int = 60,
-    watermark: str = "1 minute",
+    watermark: str | None = "1 minute",
 ) -> DataFrame:
     """Calls and durations per operation, status and error type; windowed when ``time`` is set."""
     status = F.when(F.col(error_type).isNull(), "success").otherwise("error")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.maintenance import match_freshness, task_latest_status
 from pairwright.session import scratch_path
+from pairwright.sources.writers import retain_days
 from pairwright.streaming import metrics
-from pairwright.streaming.state import task_status_stream
+from pairwright.streaming.state import carry_gauges_stream, match_freshness_stream, task_status_stream
 from pairwright.workload import tables as t
 from pairwright.workload.registry import query
 from pairwright.workload.rollups import rounded
@@ -86,32 +87,110 @@ def _(spark, sf):
     return shown(stored.where("name <> 'closing.total'"))
 
 
-@query("carry_gauges", f"""WITH {PARSED}, g AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS w, name, max_by(metric_value, ts) AS gauge FROM parsed WHERE type = 'g' GROUP BY 1, 2)
-  SELECT name, gauge, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(lead(w) OVER (PARTITION BY name ORDER BY w), '%Y-%m-%d %H:%M:%S') AS valid_until FROM g""")
+def streamed(spark, events, name, build):
+    """Stored rows of an append-mode stream over event files, stopped halfway and resumed from its checkpoint.
+
+    The second half ends with an event a day ahead, of type ``closing``, which closes the last windows.
+    """
+    inbox, out, state = (scratch_path(spark, f"{name}-{part}") for part in ("inbox", "rows", "state"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(low + (high - low) / 2) if low else F.current_timestamp()
+    closing = events.agg((F.max("ts") + F.make_dt_interval(F.lit(1))).alias("ts"), F.max("event_id").alias("last")).select(
+        (F.col("last") * 52 + 1).alias("event_id"), "ts", F.lit(-1).cast("bigint").alias("user_id"),
+        F.lit("closing").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    for half in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle).unionByName(closing)):
+        half.write.mode("append").parquet(inbox)
+        rows = build(spark.readStream.schema(events.schema).parquet(inbox))
+        (
+            rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def retried(events):
+    """The events with every seventh one sent twice."""
+    return events.unionByName(events.where(F.col("event_id") % 7 == 0))
+
+
+KEPT_GAUGES = f"""WITH {PARSED}, g AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS w, name, max_by(metric_value, ts) AS gauge FROM parsed WHERE type = 'g' GROUP BY 1, 2)
+  SELECT name, gauge, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(lead(w) OVER (PARTITION BY name ORDER BY w), '%Y-%m-%d %H:%M:%S') AS valid_until FROM g"""
+
+
+@query("carry_gauges", KEPT_GAUGES)
 def _(spark, sf):
     rolled = metrics.statsd_rollup(metrics.parse_statsd(lines(t.table(spark, sf, "events"))))
     kept = metrics.carry_gauges(rolled)
     return shown(kept.withColumn("valid_until", F.date_format("valid_until", "yyyy-MM-dd HH:mm:ss")))
 
 
+@query("carry_gauges_stream", KEPT_GAUGES)
+def _(spark, sf):
+    """The same as a stream; a row in force comes without an end first and again with it, so the highest end counts."""
+    def build(events):
+        parsed = metrics.timed(metrics.parse_statsd(lines(events)), "ts", "1 minute")
+        return carry_gauges_stream(parsed.where("type = 'g'").select(
+            "name", F.col("metric_value").alias("gauge"), F.unix_micros("ts").alias("created"), "ts"))
+    told = streamed(spark, t.table(spark, sf, "events"), "gauges", build).where("name <> 'closing.total'")
+    kept = told.groupBy("name", "window_start").agg(F.first("gauge").alias("gauge"), F.max("valid_until").alias("valid_until"))
+    moment = {c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "valid_until")}
+    return kept.withColumns(moment)
+
+
 def http_requests(events):
     key = F.col("event_id")
     return events.select(
-        "ts", F.when(key % 2 == 0, "GET").otherwise("POST").alias("method"),
+        "event_id", "ts", F.when(key % 2 == 0, "GET").otherwise("POST").alias("method"),
         F.concat(F.lit("/"), F.col("event_type")).alias("route"),
         F.when(F.col("event_type") == "error", 503).when(key % 5 == 0, 404).otherwise(200).alias("status_code"),
         (F.col("value") * 20).alias("duration_ms"), (key % 100).alias("request_size"), (key % 1000).alias("response_size"),
         F.when(F.col("event_type") == "error", "Boom").alias("error_type"))
 
 
-@query("http_request_rollup", """SELECT strftime(time_bucket(INTERVAL 10 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/' || event_type AS route,
+REQUESTS = """SELECT strftime(time_bucket(INTERVAL 10 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/' || event_type AS route,
   CASE WHEN event_type = 'error' THEN '5xx' WHEN event_id % 5 = 0 THEN '4xx' ELSE '2xx' END AS status_range, count(*) AS requests, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors,
   round(min(value * 20), 6) AS min_ms, round(avg(value * 20), 6) AS avg_ms, round(max(value * 20), 6) AS max_ms, CAST(sum(CASE WHEN value * 20 > 1000 THEN 1 ELSE 0 END) AS BIGINT) AS slow,
-  max(event_id % 100) AS max_request_size, max(event_id % 1000) AS max_response_size FROM events GROUP BY 1, 2, 3, 4""")
+  max(event_id % 100) AS max_request_size, max(event_id % 1000) AS max_response_size FROM events GROUP BY 1, 2, 3, 4"""
+
+
+@query("http_request_rollup", REQUESTS)
 def _(spark, sf):
     return shown(metrics.http_request_rollup(http_requests(t.table(spark, sf, "events"))))
 
 
+@query("http_request_rollup_stream", REQUESTS)
+def _(spark, sf):
+    """As a stream in which every seventh request is sent twice and counted once."""
+    rolled = streamed(spark, retried(t.table(spark, sf, "events")), "requests", lambda events: metrics.http_request_rollup(
+        metrics.once(http_requests(metrics.timed(events, "ts", "1 minute")), "event_id", watermark=None), watermark=None))
+    return shown(rolled.where("route <> '/closing'"))
+
+
+def operation_times(events):
+    key = F.col("event_id") % 3
+    return events.select(
+        "event_id", "ts", F.when(key == 0, F.concat(F.lit("http."), F.col("event_type"), F.lit(".duration")))
+        .when(key == 1, F.concat(F.lit("task."), F.col("event_type"), F.lit(".duration")))
+        .otherwise(F.concat(F.lit("task."), F.col("event_type"))).alias("name"), (F.col("value") * 20).alias("value"))
+
+
+@query("slow_operation_events_stream", """WITH e AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS w, CASE event_id % 3 WHEN 0 THEN 'http.' ELSE 'task.' END || event_type AS base, value * 20 AS v, event_id % 3 AS k FROM events),
+  r AS (SELECT w, base || '.slow' AS metric, 'c' AS type, 1.0::DOUBLE AS value FROM e WHERE k < 2 AND v > 1000
+    UNION ALL SELECT w, base || '.slow_duration_ms', 'g', v FROM e WHERE k < 2 AND v > 1000
+    UNION ALL SELECT w, base || '.duration_distribution', 'h', v FROM e WHERE k = 0 OR k = 1 AND v > 1000
+    UNION ALL SELECT w, base || '.duration_distribution', 'h', v FROM e WHERE k = 0 AND v > 1000)
+  SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, metric AS name, type, count(*) AS samples, sum(CASE WHEN type = 'c' THEN value END) AS counter,
+  round(min(CASE WHEN type = 'h' THEN value END), 6) AS min, round(avg(CASE WHEN type = 'h' THEN value END), 6) AS avg, round(max(CASE WHEN type = 'h' THEN value END), 6) AS max FROM r GROUP BY w, metric, type""")
+def _(spark, sf):
+    """Slow operations of a stream with retries, derived and rolled up by flush window."""
+    def build(events):
+        rows = metrics.slow_operation_events(operation_times(metrics.once(events, "event_id")))
+        return metrics.statsd_rollup(rows.select("ts", F.col("metric").alias("name"), "type", F.col("value").alias("metric_value"),
+                                                 F.lit(1.0).alias("sample_rate")), watermark=None)
+    rolled = streamed(spark, retried(t.table(spark, sf, "events")), "slow", build)
+    return shown(rolled.where(~F.col("name").contains(".closing")).drop("gauge"))
+
+
 @query("slow_operation_events", """WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'http.' || event_type || '.duration' WHEN 1 THEN 'task.' || event_type || '.duration' ELSE 'task.' || event_type END AS name, value * 20 AS v, event_id % 3 AS k, event_type FROM events)
   SELECT metric, type, count(*) AS rows, round(sum(value), 4) AS total FROM (
   SELECT (CASE k WHEN 0 THEN 'http.' ELSE 'task.' END) || event_type || '.slow' AS metric, 'c' AS type, 1.0::DOUBLE AS value FROM e WHERE k < 2 AND v > 1000
@@ -119,12 +198,7 @@ def _(spark, sf):
   UNION ALL SELECT (CASE k WHEN 0 THEN 'http.' ELSE 'task.' END) || event_type || '.duration_distribution', 'h', v FROM e WHERE k < 2 AND v > 1000
   UNION ALL SELECT 'http.' || event_type || '.duration_distribution', 'h', v FROM e WHERE k = 0) GROUP BY 1, 2""")
 def _(spark, sf):
-    key = F.col("event_id") % 3
-    timed = t.table(spark, sf, "events").select(
-        "event_id", F.when(key == 0, F.concat(F.lit("http."), F.col("event_type"), F.lit(".duration")))
-        .when(key == 1, F.concat(F.lit("task."), F.col("event_type"), F.lit(".duration")))
-        .otherwise(F.concat(F.lit("task."), F.col("event_type"))).alias("name"), (F.col("value") * 20).alias("value"))
-    rows = metrics.slow_operation_events(timed)
+    rows = metrics.slow_operation_events(operation_times(t.table(spark, sf, "events")))
     return rounded(rows.groupBy("metric", "type").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")), digits=4)
 
 
@@ -138,13 +212,25 @@ def _(spark, sf):
     return rows.groupBy("metric", "type", "duration_category").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def operations(events):
+    return events.select(
+        F.col("user_id").alias("operation"), F.when(F.col("event_type") == "error", F.col("props")).alias("error_type"),
+        F.col("value").alias("duration_ms"), "ts")
+
+
 @query("operation_outcomes", """SELECT user_id AS operation, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, CASE WHEN event_type = 'error' THEN props END AS error_type,
   count(*) AS calls, min(value) AS min_ms, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM events GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    events = t.table(spark, sf, "events").select(
-        F.col("user_id").alias("operation"), F.when(F.col("event_type") == "error", F.col("props")).alias("error_type"),
-        F.col("value").alias("duration_ms"))
-    return rounded(metrics.operation_outcomes(events))
+    return rounded(metrics.operation_outcomes(operations(t.table(spark, sf, "events"))))
+
+
+@query("operation_outcomes_stream", """SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS operation, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN event_type = 'error' THEN props END AS error_type, count(*) AS calls, round(min(value), 6) AS min_ms, round(avg(value), 6) AS avg_ms, round(max(value), 6) AS max_ms FROM events GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    """Outcomes by minute of a stream with retries."""
+    rolled = streamed(spark, retried(t.table(spark, sf, "events")), "outcomes", lambda events: metrics.operation_outcomes(
+        operations(metrics.once(events, "event_id")), time="ts", watermark=None))
+    return shown(rolled.where("operation >= 0").withColumn("window_start", F.col("window.start")).drop("window"))
 
 
 @query("bottleneck_report", """WITH s AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'db.query.q' || user_id || '.duration' WHEN 1 THEN 'algorithm.step' || user_id WHEN 2 THEN 'http.response.size' ELSE 'svc.http.requests.slow' END AS name, value * 100 AS v FROM events),
@@ -168,6 +254,30 @@ def _(spark, sf):
     return metrics.requests_retention(t.table(spark, sf, "events"), now).select("event_id")
 
 
+@query("retain_days", """WITH e AS (SELECT *, CAST(ts AS DATE) AS d, ts < TIMESTAMP '2024-01-15 06:30:00' AS gone FROM events)
+  SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS rows, sum(event_id)::BIGINT AS ids, (SELECT count(*) FROM e WHERE gone) AS deleted FROM e WHERE NOT gone GROUP BY d""")
+def _(spark, sf):
+    """Events stored by day, then the retention of 30 days as of mid-February applied to the stored table."""
+    path = scratch_path(spark, "retained")
+    t.table(spark, sf, "events").withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    deleted = retain_days(spark, path, F.lit("2024-02-14 06:30:00").cast("timestamp_ntz") - F.make_dt_interval(F.lit(30)), "ts")
+    return spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"), F.lit(deleted).cast("bigint").alias("deleted"))
+
+
+@query("match_freshness_stream", """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS m, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 1000 ORDER BY event_id) AS n FROM events),
+  fresh AS (SELECT user_id, min(m) AS a FROM r GROUP BY 1
+    UNION ALL SELECT user_id, (SELECT min(m) FROM r WHERE r.user_id = fresh.user_id AND r.m > a + 86400000) FROM fresh WHERE a IS NOT NULL)
+  SELECT r.user_id::VARCHAR AS request_key, m AS created, NOT (n = 1 AND a IS NOT NULL) AS reused FROM r LEFT JOIN fresh ON fresh.user_id = r.user_id AND a = m""")
+def _(spark, sf):
+    """Each event as a request of its user whose result is valid for a day."""
+    def build(events):
+        timed = metrics.timed(events, "ts", "1 minute")
+        return match_freshness_stream(timed.select(
+            F.col("user_id").cast("string").alias("request_key"), F.unix_millis("ts").alias("created"), "ts"), 86_400, ordered=True)
+    return streamed(spark, t.table(spark, sf, "events"), "freshness", build).where("request_key <> '-1'")
+
+
 @query("match_freshness", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 300 SECOND")
 def _(spark, sf):
     now = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")

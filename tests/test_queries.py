@@ -16,7 +16,7 @@ SPREAD = (
     "scan_jobs_star", "sink_search_requests", "parse_skills", "tokenize_bm25", "filter_location", "filter_fields", "geo_radius_join",
     "company_logo_update", "exclusion_union", "score_distribution", "empirical_cdf", "bm25_search", "build_training_dataset",
     "related_skills", "skill_similarity", "page_window", "fallback_fill", "match_user_jobs", "fuse_scores", "ranking_report",
-    "class_separation", "contrastive_losses", "explain_summary", "extract_skills_patterns", "extract_skill_lists", "statsd_rollup",
+    "class_separation", "contrastive_losses", "explain_summary", "extract_skills_patterns", "extract_skill_lists", "statsd_rollup", "retain_days",
     "bottleneck_report", "task_latest_status", "page_best_image", "asset_validity",
 )
 ALL = sorted(oracle_sql())

@@ -1,7 +1,11 @@
 """Streams give the same rows as the batch form."""
 
+import os
+from glob import glob
+
 from pyspark.sql import functions as F
 
+from pairwright.sources.writers import retain_days
 from pairwright.streaming import metrics
 from tests.conftest import rows
 
@@ -47,3 +51,34 @@ def test_request_rollup_and_outcomes_accept_streams(spark, tmp_path):
     query = outcome.writeStream.format("memory").queryName("outcome_rows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("outcome_rows").agg(F.sum("calls")).first()[0] == 40
+
+
+def test_retries_count_once(spark, tmp_path):
+    made = spark.range(50).select("id", (F.lit(1_700_000_000) + F.col("id")).cast("timestamp").alias("ts"), F.lit("a").alias("operation"),
+                                  F.lit(None).cast("string").alias("error_type"), F.lit(1.0).alias("duration_ms"))
+    for part in (made.where("id < 30"), made.where("id >= 20")):  # ten retried in a later batch
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    outcome = metrics.operation_outcomes(metrics.once(stream, "id"), time="ts", watermark=None)
+    outcome.writeStream.format("memory").queryName("once_rows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("once_rows").agg(F.sum("calls")).first()[0] == 50
+    assert metrics.once(made.union(made), "id").count() == 50
+
+
+def test_retention_touches_old_days_only(spark, tmp_path):
+    path = f"{tmp_path}/kept"
+    base = spark.range(96).select("id", (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("time"))
+    base.withColumn("day", F.to_date("time")).repartition("day").write.partitionBy("day").parquet(path)
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob(f"{path}/day=*/*.parquet")}
+
+    before = files()
+    assert retain_days(spark, path, F.lit("2024-03-02 05:30:00").cast("timestamp_ntz")) == 30
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(30, 96))
+    after = files()
+    assert {f for f in before if before[f] == after.get(f)} == {f for f in before if "03-03" in f or "03-04" in f}
+    assert retain_days(spark, path, F.lit("2024-03-02 05:30:00").cast("timestamp_ntz")) == 0
+    assert retain_days(spark, path, F.lit("2024-03-02 23:30:00").cast("timestamp_ntz")) == 18
+    assert not glob(f"{path}/day=2024-03-02/*.parquet") and spark.read.parquet(path).count() == 48
+    assert retain_days(spark, path, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")) == 48
