@@ -16,13 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bound_batches, text_of
-from pairwright.llm.samples import held_out, id_bucket, labelled_ids, sampled_texts
+from pairwright.llm.common import bound_batches, stored, text_of
+from pairwright.llm.samples import held_out, id_bucket, labelled_ids, sampled_texts, window
 
 #: Labelled documents of each class that train and calibrate, half of them each.
 PER_CLASS = 1500
-#: Characters of a training text; scoring reads whole texts.
-TRAIN_CHARS = 8192
+#: Characters that one text gives to a dictionary; calibration and scoring read whole texts.
+DICT_CHARS = 8192
 BLOCK = 2048
 DICT_BYTES = 65536
 LEVEL = 3
@@ -93,27 +93,38 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int
 
     One class only gives its label as a constant score, no labels give 0.5.
     """
+    bound_batches(docs.sparkSession)
     ids = labelled_ids(labels, "quality", id_bucket(F.col("doc_id"), modulus) != rest, per_class)
-    rows = sampled_texts(docs, ids, TRAIN_CHARS).select("doc_id", "y", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-    if rows["y"].nunique() < 2:
-        return QualityModel(None, None, base=float(rows["y"].iloc[0]) if len(rows) else 0.5)
-    half = rows.groupby("y").cumcount() % 2 == 0
-    if half.groupby(rows["y"]).sum().min() < 10:  # too few to part: the same rows train and calibrate
-        train, check = rows, rows
-    else:
-        train, check = rows[half], rows[~half]
-    good, bad = (_dictionary(train.loc[train["y"] == k, "text"].tolist()) for k in (1, 0))
-    share = float(rows["y"].mean())
+    sample = stored(sampled_texts(docs, ids), "quality-sample")
+    parts = sample.withColumn("first", F.col("at") % 2 == 1).groupBy("y", "first").count().collect()
+    counts = {(r.y, r.first): r["count"] for r in parts}
+    rows = sum(counts.values())
+    share = sum(n for (y, _), n in counts.items() if y == 1) / rows if rows else 0.5
+    if len({y for y, _ in counts}) < 2:
+        return QualityModel(None, None, base=share)
+    parted = all(counts.get((y, True), 0) >= 10 for y in (0, 1))  # too few to part: the same rows train and calibrate
+    pieces = sample.where("at % 2 = 1" if parted else "true").select(
+        "doc_id", "y", window(F.col("text"), F.col("doc_id"), DICT_CHARS).alias("text")).toPandas().sort_values("doc_id")
+    good, bad = (_dictionary(pieces.loc[pieces["y"] == k, "text"].tolist()) for k in (1, 0))
     if good is None or bad is None:
         return QualityModel(None, None, base=share)
-    sizes = _Sizes(QualityModel(good, bad))
-    x = np.array([sizes.features(t) for t in check["text"]])
+    check = sample.where("at % 2 = 0" if parted else "true").select(
+        "doc_id", "y", _measured(QualityModel(good, bad))(F.col("text")).alias("x")).toPandas().sort_values("doc_id")
+    x = np.array(check["x"].tolist())
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = fit_logistic((x - mean) / scale, check["y"].to_numpy(float))
     return QualityModel(good, bad, tuple(mean), tuple(scale), tuple(weights), share)
 
 
+def _measured(model: QualityModel):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = _Sizes(model)
+        for batch in texts:
+            yield pd.Series([list(sizes.features(t)) for t in batch], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")
+
+
 def _scorer(model: QualityModel):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = _Sizes(model) if model.good is not None else None
