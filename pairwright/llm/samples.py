@@ -27,8 +27,10 @@ def labelled_ids(labels: DataFrame, label: str, allowed: Column, per_class: int)
         labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min(y).alias("y"), F.max(y).alias("_other")).where("y = _other").drop("_other")
     )
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class)
+    hashed = (F.xxhash64("doc_id"), F.col("doc_id"))
+    first = [known.where(F.col("y") == k).orderBy(*hashed).limit(per_class) for k in (0, 1)]
+    at = F.row_number().over(Window.partitionBy("y").orderBy(*hashed))  # over the chosen ids only
+    return first[0].unionByName(first[1]).withColumn("at", at)
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
