@@ -1,11 +1,17 @@
 """Personal data by patterns, and by bootstrapped contextual extraction.
 
 Base kinds are found with expressions. Their spans are the seeds of a bootstrap over lexical contexts: each
-mention (a seed, or another identifier-like token) stands between words, and a pattern is what stands left of it
-(two words) or around it (one word on either side). Spark scores the pattern-instance graph in rounds: a
-pattern's score for a kind is the mean score of its distinct instances, damped for few instances; an
-instance's score is the chance that one of its patterns is right; seeds stay at 1. Patterns that end at
-``CONFIDENT`` or above give their kind to identifier-like tokens of a fitting shape that no seed covers.
+mention (a seed, or another identifier-like run of tokens) stands between words, and a pattern is what stands left
+of it (two words) or around it (one word on either side). Words are runs of letters and digits of the whole text,
+other mentions included, lower-cased, digits as 0, so seeds and candidates meet in the same patterns.
+Spark scores the pattern-instance graph in rounds: a pattern's score for a kind is the mean score of its distinct
+instances, damped for few instances; an instance's score is the chance that one of its patterns is right; seeds
+stay at 1. Patterns that end at ``CONFIDENT`` or above give their kind to candidates of a fitting shape that no
+seed covers.
+
+A candidate is a maximal run of tokens (with a digit or an at sign) joined by single blanks, between which brackets,
+hyphens or slashes may stand, so that spaced identifiers are whole. Its tokens are candidates too where the run
+has no kind's shape, or the token has one itself.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import let, stored, text_of
+from pairwright.operators.skew import salted_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base expressions, anchored where only the leftmost match can begin, so that no
@@ -24,8 +31,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A run without blanks that holds a digit or an at sign.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Token: a run without blanks that holds a digit or an at sign.
+TOKEN = r"[^\s0-9@]*+[0-9@]\S*+"
+#: Tokens joined by single blanks; a token that ends in other signs (a full stop, say) ends the run.
+RUN = rf"(?<!\S){TOKEN}(?:(?<=[0-9A-Za-z()/-])\x20(?:[()/-]++\x20)?+{TOKEN})*+"
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: What a discovered token of a kind has to look like.
 SHAPES = {
@@ -74,15 +83,20 @@ def _running(lengths: Column) -> Column:
             F.get(sums, i - F.pow(F.lit(2), k - 1).cast("int")), F.lit(0))))
 
 
+def _words(piece: Column) -> Column:
+    """Words of a short piece, lower-cased, digits as 0."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(piece), "[0-9]", "0"), r"[^\p{L}\p{N}]++", " ")
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def _before(piece: Column) -> Column:
-    """The last two words of what stands left, lower-cased, digits as 0."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.right(piece, F.lit(CONTEXT))), "[0-9]", "0")), r"\s+")
-    return F.array_join(F.slice(words, -F.least(F.size(words), F.lit(2)), 2), " ")
+    """The last two words of what stands left."""
+    return let(_words(F.right(piece, F.lit(CONTEXT))), lambda words: F.array_join(
+        F.slice(words, -F.least(F.greatest(F.size(words), F.lit(1)), F.lit(2)), 2), " "))
 
 
 def _after(piece: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.left(piece, F.lit(CONTEXT))), "[0-9]", "0")), r"\s+")
-    return F.get(words, F.lit(0))
+    return F.coalesce(F.get(_words(F.left(piece, F.lit(CONTEXT))), F.lit(0)), F.lit(""))
 
 
 def _spans(text: Column, pattern: str, kind: Column) -> Column:
@@ -92,15 +106,61 @@ def _spans(text: Column, pattern: str, kind: Column) -> Column:
     def placed(found: Column) -> Column:
         def with_pieces(pieces: Column) -> Column:
             lengths = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+
+            def left(i: Column) -> Column:  # a piece may be a mere blank, so the matches left of it count too
+                return F.concat_ws("", *[x for back in (2, 1) for x in (
+                    F.right(F.get(pieces, i - back), F.lit(CONTEXT)), F.right(F.get(found, i - back), F.lit(CONTEXT)))], F.get(pieces, i))
+
+            def right(i: Column) -> Column:
+                return F.concat_ws("", F.get(pieces, i + 1), F.left(F.get(found, i + 1), F.lit(CONTEXT)))
+
             return let(_running(lengths), lambda ends: F.transform(found, lambda m, i: F.struct(
                 kind.alias("kind"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("value"),
-                _before(F.get(pieces, i)).alias("before"), _after(F.get(pieces, i + 1)).alias("after"))))
+                _before(left(i)).alias("before"), _after(right(i)).alias("after"))))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), with_pieces)).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
+def _any_shape(value: Column) -> Column:
+    fits = F.lit(False)
+    for shape in SHAPES.values():
+        fits = fits | value.rlike(shape)
+    return fits
+
+
+def _tokens(run: Column) -> Column:
+    """The tokens of a run of several that are candidates of their own."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
+
+    def cut(parts: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            def token(part: Column, i: Column) -> Column:
+                left = F.concat_ws(" ", run["before"], F.get(parts, i - 2), F.get(parts, i - 1))
+                end = run["start"] + F.get(ends, i) - 1
+                return F.struct(
+                    F.lit(None).cast("string").alias("kind"), (end - F.length(part)).alias("start"), end.alias("end"),
+                    part.alias("value"), _before(left).alias("before"),
+                    _after(F.concat_ws(" ", F.get(parts, i + 1), run["after"])).alias("after"))
+
+            return F.transform(parts, token)
+
+        whole = _any_shape(run["value"])
+        own = let(_running(F.transform(parts, lambda p: F.length(p) + 1)), placed)
+        return F.when(F.size(parts) > 1, F.filter(own, lambda t: t["value"].rlike("[0-9@]") & (
+            ~whole | _any_shape(t["value"])))).otherwise(none)
+
+    return let(F.split(run["value"], " "), cut)
+
+
+def candidates(text: Column) -> Column:
+    """Runs of tokens and the tokens that count alone, as spans without a kind."""
+    runs = _spans(text, RUN, F.lit(None).cast("string"))
+    return let(runs, lambda found: F.concat(
+        F.filter(found, lambda r: ~r["value"].contains(" ") | _any_shape(r["value"])), F.flatten(F.transform(found, _tokens))))
+
+
 def base_spans(text: Column) -> Column:
     """The valid base spans of a text, by kind and start."""
     return F.flatten(F.array(*[_checked(text, kind) for kind in KINDS]))
@@ -154,6 +214,32 @@ def _patterns() -> Column:
     return F.array_compact(F.array(two, around))
 
 
+def _trimmed(found: DataFrame) -> DataFrame:
+    """Spans without the signs around them; a leading plus or bracket stays."""
+    lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z(+]*+", 0))
+    trail = F.length(F.regexp_extract("value", r"(?<=[0-9A-Za-z])[^0-9A-Za-z]++$", 0))
+    return found.withColumns({"start": F.col("start") + lead, "end": F.col("end") - trail})
+
+
+def _discovered(mentions: DataFrame, sure: DataFrame) -> DataFrame:
+    """(digest, more): the spans that confident patterns give a kind, none within another.
+
+    Where patterns give a span several kinds, the first in the order of ``KINDS`` holds.
+    """
+    place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    shaped = F.lit(False)
+    for kind in KINDS:
+        shaped = shaped | ((F.col("found") == kind) & F.col("value").rlike(SHAPES[kind]))
+    given = (
+        mentions.where(F.col("kind").isNull()).select("digest", "start", "end", "value", F.explode("patterns").alias("pattern"))
+        .join(sure.withColumnRenamed("kind", "found"), "pattern").where(shaped)
+        .groupBy("digest", "start", "end", "value").agg(F.min_by("found", place[F.col("found")]).alias("kind"))
+    )
+    ordered = Window.partitionBy("digest").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = given.withColumn("reached", F.coalesce(F.max("end").over(ordered), F.lit(0))).where(F.col("start") >= F.col("reached"))
+    return _trimmed(outer).groupBy("digest").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+
+
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least: int = 5,
                        doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per document.
@@ -161,27 +247,23 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confident: float =
     Counts and the hash are those of the base spans; ``spans`` lists base and discovered spans as
     kind:start:end, by kind and start. Null and empty texts have no spans. Equal texts get equal results and
     count once as evidence; repeated rows and null ids are reported each; extra columns are ignored; an
-    empty table gives no rows. A pattern needs ``least`` distinct instances.
+    empty table gives no rows. A pattern needs ``least`` distinct instances. A span is given one kind, and of
+    two discovered spans within each other the longer counts.
     """
     body = text_of(F.col(text))
     found = stored(docs.select(
         F.col(doc_id).alias("doc_id"), F.md5(body).alias("digest"), base_spans(body).alias("base"),
-        _spans(body, TOKEN, F.lit(None).cast("string")).alias("tokens")), "spans")
+        candidates(body).alias("tokens")), "spans")
     texts = found.groupBy("digest").agg(F.first("base").alias("base"), F.first("tokens").alias("tokens"))
     mentions = stored(
         _mentions(texts).withColumn("instance", F.xxhash64(F.lower("value"))).withColumn("patterns", _patterns()), "mentions")
     edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern"))
     sure = stored(_confident_patterns(edges, rounds, confident, least), "sure-patterns")
-    shaped = F.lit(False)
-    for kind in KINDS:
-        shaped = shaped | ((F.col("found") == kind) & F.col("value").rlike(SHAPES[kind]))
-    fresh = (
-        mentions.where(F.col("kind").isNull()).select("digest", "start", "end", "value", F.explode("patterns").alias("pattern"))
-        .join(sure.withColumnRenamed("kind", "found"), "pattern").where(shaped)
-        .groupBy("digest").agg(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end")).alias("more"))
-    )
-    joined = found.select("doc_id", "digest", F.transform("base", lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base")).join(fresh, "digest", "left")
+    fresh = stored(_discovered(mentions, sure), "discovered")
+    own = found.select("doc_id", "digest", F.transform("base", lambda s: F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
+    # one text may stand in a third of all rows
+    joined = salted_join(own, fresh, ["digest"], "left", spread_by=["doc_id"])
 
     def listed(spans: Column) -> Column:
         place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])

@@ -8,7 +8,7 @@ import regex
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Further columns whose names the operators use inside.
-CLASHING = "node string, digest string, item string, bucket long, label string, score double, words array<string>, h long, part int"
+CLASHING = "node string, digest string, item string, bucket long, label string, score double, words array<string>, h long, part int, _cutoffs string, _drop_lines string, cutoffs string, more string"
 
 
 def words(text):
@@ -103,6 +103,10 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def luhn_completed(digits):
+    return next(digits + str(c) for c in range(10) if luhn((digits + str(c)).replace(" ", "")))
+
+
 def personal(text):
     out = []
     for kind, pattern in PII.items():

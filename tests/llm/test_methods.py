@@ -190,6 +190,51 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[101].spans == got[102].spans == "" and got[0].n_phone == 1
 
 
+def test_spaced_and_neighbouring_identifiers(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{sentence(rng, 5)} call me on +49 30 {rng.randrange(10**6, 10**7)} today") for i in range(30)]
+    rows += [(30 + i, f"{sentence(rng, 5)} from room {i} +49 30 {rng.randrange(10**6, 10**7)} rings") for i in range(30)]
+    rows += [(90 + i, f"{sentence(rng, 5)} my visa is {c} or so") for i, c in enumerate([
+        plain.luhn_completed(f"4526 8306 4400 {k:03}") for k in range(30)])]
+    rows += [(200, "please call me on 030 445 5667 today"), (201, "please call me on (437) 555-0689. 12 birds sing"),
+             (202, "room 12 0304455667 is free"), (203, "the \U0001f600 visa is 4111 1111 1111 1112 or"),
+             (204, "call me on 5 monday or 030 445 5667"), (205, "call me on 030 - 445 / 5667, (12)")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "phone:18:30" and got[201] == "phone:18:32" and got[202] == "phone:8:18"
+    assert got[203] == "card:14:33" and got[204] == "" and got[205] == "phone:11:27"
+    none = {r.doc_id: r.spans for r in pii.find_personal_data(
+        spark.createDataFrame(rows, "doc_id long, text string"), least=10**9).collect()}
+    assert all(none[i] == "" for i in range(200, 206))  # the base expressions alone find none of them
+
+
+def test_copies_are_no_trials(spark):
+    """One good text with a long word in 400 copies and labels is one trial: too few to prove a cutoff."""
+    rng = random.Random(3)
+    bad = [(1000 + i, " ".join("x" * 60 for _ in range(30)) + f" {i}", "en") for i in range(40)]
+    one = " ".join(sentence(rng, 40).split())
+    docs = spark.createDataFrame([(i, one, "en") for i in range(400)] + bad, "doc_id long, text string, lang string")
+    labels = [(i, 1) for i in range(400)] * 2 + [(i, 0) for i, _, _ in bad]
+    report = rules.rule_report(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r[f"cut_{rule}"] is None for r in report for rule in rules.GRID)
+    many = spark.createDataFrame([(i, f"{one} {i}", "en") for i in range(400)] + bad, "doc_id long, text string, lang string")
+    report = rules.rule_report(many, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.kept for r in report if r.doc_id >= 1000} == {False} and all(r.kept for r in report if r.doc_id < 1000)
+
+
+def test_bins_are_tight():
+    """A lone piece is replaced by two that fill the bin, and again while two fit more tightly."""
+    assert packing.best_two_fit([1500, 1000, 1000], 2048) == [[1, 2], [0]]
+    rng = random.Random(5)
+    for _ in range(30):
+        lengths = [rng.randint(1, 60) for _ in range(60)]
+        left = list(range(len(lengths)))
+        for own in packing.best_two_fit(lengths, 64):
+            left = [i for i in left if i not in own]
+            used, small = sum(lengths[i] for i in own), min(lengths[i] for i in own)
+            pairs = [lengths[i] + lengths[j] for i in left for j in left if i < j]
+            assert used == 64 or not any(small < p <= 64 - used + small for p in pairs)
+
+
 def test_identity_terms_do_not_move_the_score():
     rng = random.Random(1)
     texts, labels = [], []
