@@ -85,8 +85,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str
     joined = docs.join(drop, same(docs[doc_id], drop["_drop_doc"]), "left")
     lines = F.split(docs[text], "\n")
     kept = F.filter(lines, lambda line: ~_has_word(line) | ~F.array_contains(
-        F.col("_drop_lines"), F.struct(*_line_hashes(line))))
-    touched = F.col("_drop_lines").isNotNull()
+        drop["_drop_lines"], F.struct(*_line_hashes(line))))
+    touched = drop["_drop_lines"].isNotNull()
     columns = [
         F.when(touched, F.array_join(kept, "\n")).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns
     ]

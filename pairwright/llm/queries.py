@@ -136,10 +136,12 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS
      v AS (SELECT r, doc_id, stratum, base_failed, unnest({list(GRID)}) AS rule,
                   unnest([{", ".join(GRID)}]) AS value FROM f),
      c AS (SELECT * FROM (VALUES {_CUTS}) AS c(rule, step, cutoff)),
+     u AS (SELECT min(f.r) AS r, min(quality) AS quality FROM f JOIN t ON t.r = f.r JOIN labels ON labels.doc_id = f.doc_id
+           WHERE NOT base_failed AND quality IN (0, 1) GROUP BY stratum, text HAVING min(quality) = max(quality)),
      k AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS good,
                   count(*) FILTER (quality = 1 AND value > cutoff) AS good_hit, count(*) FILTER (quality = 0) AS bad,
                   count(*) FILTER (quality = 0 AND value > cutoff) AS bad_hit
-           FROM v JOIN labels USING (doc_id) JOIN c USING (rule) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL),
+           FROM v JOIN u USING (r) JOIN c USING (rule) GROUP BY ALL),
      p AS (SELECT *, CASE WHEN good_hit >= good * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, good_hit + 1), lambda i:
                   exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({RISK}) + (good - i) * ln({1 - RISK})))) END AS p
            FROM k),

@@ -126,10 +126,14 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def safe_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """One row per stratum with a cutoff (or null) for each rule.
 
-    ``stats``: doc, stratum and the counts; ``labels``: doc_id, quality (1 good, 0 bad, others ignored).
+    ``stats``: doc, stratum, two hashes of the text and the counts; ``labels``: doc_id, quality (1 good, 0 bad,
+    others ignored). Copies are no independent trials: a text counts once in a stratum, however many rows and
+    labels it has, and a text labelled both ways counts as neither.
     """
     known = labels.select(F.col("doc_id").alias("label_doc"), "quality").where(F.col("quality").isin(0, 1))
     held = stats.join(known, F.col("doc") == F.col("label_doc")).where(~_base_failed(F.col))
+    held = held.groupBy("stratum", "h1", "h2", *STATS).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where(
+        F.col("quality") == F.col("other"))
     values = _features(F.col)
     cells = F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), (values[rule] > cut).alias("hit"))
@@ -178,19 +182,24 @@ def rule_report(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: f
 
 def _stats(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame:
     return docs.select(
-        F.col(doc_id).alias("doc"), F.col(stratum).alias("stratum"), text_stats(F.col(text)).alias("s"),
-    ).select("doc", "stratum", "s.*")
+        F.col(doc_id).alias("doc"), F.col(stratum).alias("stratum"), F.xxhash64(text).alias("h1"),
+        F.xxhash64(F.lit(1), F.col(text)).alias("h2"), text_stats(F.col(text)).alias("s"),
+    ).select("doc", "stratum", "h1", "h2", "s.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, doc_id: str = "doc_id",
               text: str = "text", stratum: str = "lang") -> DataFrame:
     """``docs`` (all columns) without the documents that the base or a rule rejects.
 
-    The counts are taken again while filtering, which is cheaper than moving the texts.
+    Documents are written once with their counts, so that both passes read them.
     """
-    stats = stored(_stats(docs, doc_id, text, stratum), "text-stats")
+    body = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[stratum].alias("stratum"),
+                       docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("h1"), F.xxhash64(F.lit(1), docs[text]).alias("h2"),
+                       text_stats(docs[text]).alias("s"))
+    counted = stored(body, "counted-texts")
+    stats = counted.select(F.col("id").alias("doc"), "stratum", "h1", "h2", "s.*")
     cuts = stored(safe_cutoffs(stats, labels, risk, level), "cutoffs").select(
-        F.struct("*").alias("_cutoffs"), F.lit(True).alias("_on"))
-    joined = docs.join(broadcast_if_small(cuts, cuts.count()), same(docs[stratum], cuts["_cutoffs.stratum"]), "left")
-    kept = let(text_stats(docs[text]), lambda s: _verdict(lambda n: s[n], lambda n: F.col("_cutoffs")[n]))
-    return joined.where(kept).select(*[docs[c] for c in docs.columns])
+        F.struct("*").alias("cutoffs"), F.col("stratum").alias("cut_stratum"))
+    joined = counted.join(broadcast_if_small(cuts, cuts.count()), same(F.col("stratum"), F.col("cut_stratum")), "left")
+    kept = _verdict(lambda n: F.col("s")[n], lambda n: F.col("cutoffs")[n])
+    return joined.where(kept).select("doc.*")
