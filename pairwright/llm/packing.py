@@ -168,9 +168,8 @@ def _tokenized(path: str, length: int):
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of positions in ``lengths``; no bin is fuller than ``capacity``.
 
-    Each bin is filled greedily with the largest piece that fits. Then, once per bin and only in bins of two
-    pieces or more, the smallest piece is taken out if two unpacked pieces fill the widened gap more tightly.
-    A bin of one piece keeps its gap. Ties go to the lower position.
+    Each bin is filled greedily with the largest piece that fits. Then its smallest piece is taken out while two
+    unpacked pieces fill the widened gap more tightly, also where it is the only one. Ties go to the lower position.
     """
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     for at in sorted(range(len(lengths)), reverse=True):
@@ -196,7 +195,7 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
             filled.append((size, take(size)))
             gap -= size
             left -= 1
-        if gap and left > 1 and len(filled) > 1:
+        while gap and left > 1:
             smallest, at = filled[-1]
             room = gap + smallest
             fits = np.maximum.accumulate(np.where(present > 0, sizes, 0))  # largest waiting size up to each size
@@ -204,13 +203,17 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
             two = fits[room - one]
             alone = (two == one) & (present[one] < 2)  # the second must be another piece
             two[alone] = np.where(one[alone] > 0, fits[np.maximum(one[alone] - 1, 0)], 0)
-            best = int(np.argmax(np.where(two > 0, one + two, 0))) if len(one) else -1
-            if best >= 0 and two[best] > 0 and one[best] + two[best] > smallest:
-                waiting[smallest].append(at)
-                present[smallest] += 1
-                pair = [(int(s), take(int(s))) for s in (one[best], two[best])]
-                filled[-1:] = sorted(pair, key=lambda x: (-x[0], x[1]))
-                left -= 1
+            both = np.where(two > 0, one + two, 0)
+            best = int(np.argmax(both)) if len(one) else -1
+            if best < 0 or both[best] <= smallest:
+                break
+            pair = [(int(s), take(int(s))) for s in (one[best], two[best])]
+            waiting[smallest].append(at)
+            present[smallest] += 1
+            filled[-1:] = pair
+            filled.sort(key=lambda x: (-x[0], x[1]))
+            left -= 1
+            gap = room - int(both[best])
         bins.append([at for _, at in filled])
     return bins
 
