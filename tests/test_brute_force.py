@@ -108,6 +108,32 @@ def test_percentiles_and_positions(spark):
     assert cdf[1e9] == 1.0 and cdf[4.0] == pytest.approx(sum(v <= 4.0 for v in values + [4.0]) / 503)
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_no_task_orders_more_than_the_budget(spark, by, monkeypatch):
+    """Outliers, ties and a hot group: edges close in on each rank until few rows are left to order."""
+    rng = random.Random(4)
+    values = [rng.gauss(0, 1e-3) for _ in range(12_000)] + [1e12, -1e12, float("inf")] + [0.5] * 5_000 + [float("nan"), None]
+    df = spark.createDataFrame([(k % 7 // 6, v) for k, v in enumerate(values)], "g int, v double").repartition(5)
+    seen, counted = [], quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: seen.append(counted(*a)) or seen[-1])
+    got = {(r["g"] if by else 0, r["share"]): r["value"] for r in quantiles.exact_percentiles(
+        df, "v", (0.0, 0.1, 0.5, 0.8, 0.99), by, row_budget=40).collect()}
+    groups = {g: [v for k, v in enumerate(values) if v is not None and v == v and (not by or k % 7 // 6 == g)] for g in ((0, 1) if by else (0,))}
+    for g, own in groups.items():
+        for share in (0.0, 0.1, 0.5, 0.8, 0.99):
+            rank = sorted(own)[int(share * (len(own) - 1))]
+            assert got[g, share] == pytest.approx(np.percentile(own, share * 100) if abs(rank) < 1e9 else rank)
+    last = {}
+    for r in seen[-1].collect():
+        last.setdefault(r["g"] if by else 0, []).append(r)
+    for g, slots in last.items():
+        for share in (0.0, 0.1, 0.5, 0.8, 0.99):
+            rank = int(share * (len(groups[g]) - 1))
+            slot = next(r for r in slots if r["_before"] <= rank < r["_before"] + r["_in"])
+            assert slot["_slot"] % 2 == 1 or slot["_in"] <= 40
+    assert 3 <= len(seen) <= 6
+
+
 def test_running_sums_over_rank_ranges(spark):
     df = spark.createDataFrame([(k % 2, k // 2 + 1, k) for k in range(60)], "g int, rank int, v int")
     got = skew.running_sum_by_rank(df, ["g"], "rank", F.col("v"), "run", rows_per_bucket=4).collect()
