@@ -200,6 +200,41 @@ def _with_field_keys(
     )
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text, and an empty one."""
+    return F.transform(F.array(F.split(text, "")), lambda letters: F.array_distinct(F.concat(F.array(F.lit("")), F.transform(
+        F.slice(letters, 1, F.greatest(F.size(letters) - 2, F.lit(0))),
+        lambda c, i: F.concat(c, F.get(letters, i + 1), F.get(letters, i + 2))))))[0]
+
+
+def _with_phrases(asked: DataFrame, jobs: DataFrame, job_id: str) -> DataFrame:
+    """Jobs with the asked phrases that their title or description holds, as ``_job_phrases``, and without their texts.
+
+    Each phrase is looked up under the one of its three-letter runs that fewest jobs hold; a phrase without such a run
+    (short, or cut up by wildcards) under the empty one, which every job has. Candidates are then checked whole.
+    """
+    phrases = asked.where(F.col("_phrase").isNotNull()).select("_phrase").distinct()
+    pieces = F.split(F.lower("_phrase"), _WILD)
+    runs = phrases.select("_phrase", F.explode(F.array_distinct(F.flatten(F.transform(pieces, _grams)))).alias("_gram"))
+    texts = jobs.select(job_id, F.concat_ws("\n", F.lower("title"), F.lower("description")).alias("_text"))
+    held = texts.select(job_id, F.explode(_grams(F.col("_text"))).alias("_gram"))
+    common = held.join(runs.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_jobs"))
+    # a run that no job holds is the rarest of all
+    rarest = runs.join(common, "_gram", "left").groupBy("_phrase").agg(
+        F.min_by("_gram", F.coalesce("_jobs", F.lit(0))).alias("_gram"))
+    found = held.join(rarest, "_gram").groupBy(job_id).agg(F.collect_set("_phrase").alias("_found"))
+
+    def holds(phrase: Column) -> Column:
+        plain = F.lower(phrase)
+        inside = F.coalesce(F.lower("title").contains(plain), F.lit(False)) | F.coalesce(
+            F.lower("description").contains(plain), F.lit(False))
+        return F.when(phrase.rlike(_WILD), phrase_matches(F.col("title"), F.col("description"), phrase)).otherwise(inside)
+
+    none = F.array().cast("array<string>")
+    return jobs.join(found, job_id, "left").withColumn(
+        "_job_phrases", F.filter(F.coalesce("_found", none), holds)).drop("_found", "title", "description")
+
+
 def eligible_pairs(
     requests: DataFrame, jobs: DataFrame, bridge: DataFrame | None = None,
     keep: Sequence[str] = (), salts: int = DEFAULT_SALTS,
@@ -209,8 +244,8 @@ def eligible_pairs(
 
     Requests carry ``locations, keywords, experience, company, is_remote_only, fields``; jobs
     carry ``title, description, experience, company_name, city, country, latitude,
-    longitude``. Country, experience and place (city, grid cell or 'any') become one equality
-    join with wildcards; free text is checked on the joined rows, and the pairs need no further
+    longitude``. Country, experience, place (city, grid cell or 'any'), field and phrase become one equality
+    join with wildcards over narrow rows; titles and descriptions stay out of it, and the pairs need no further
     shuffle. Many requests with the same filters should be one row here (see
     ``match_request_key``). ``keep`` names job columns to carry along.
     """
@@ -225,7 +260,7 @@ def eligible_pairs(
         F.nullif(F.col("company"), F.lit("")).alias("_company"),
         F.coalesce("is_remote_only", F.lit(False)).alias("_remote"),
     ).withColumns({
-        "_plain_phrase": _plain(F.col("_phrase")), "_plain_company": _plain(F.col("_company")),
+        "_text": F.coalesce(F.concat(F.lit("t:"), "_phrase"), F.lit("*")), "_plain_company": _plain(F.col("_company")),
     })
     job_cells = F.when(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
@@ -236,10 +271,13 @@ def eligible_pairs(
             ),
         ),
     )
-    asked, keyed_jobs = _with_field_keys(asked, jobs, bridge, job_id)
-    read = ["title", "description", "experience", "company_name", "city", "country", "latitude", "longitude"]
+    read = ["experience", "company_name", "city", "country", "latitude", "longitude"]
+    narrow = jobs.select(job_id, "title", "description", *read, *[c for c in keep if c not in (*read, "title", "description")],
+                         *[F.col(c).alias(f"_{c}") for c in keep if c in ("title", "description")])
+    asked, keyed_jobs = _with_field_keys(asked, _with_phrases(asked, narrow, job_id), bridge, job_id)
+    kept = [F.col(f"_{c}" if c in ("title", "description") else c).alias(c) for c in keep if c not in read]
     keyed = (
-        keyed_jobs.select(job_id, *read, *keep, "_job_fields", levels.alias("_levels"))
+        keyed_jobs.select(job_id, *read, *kept, "_job_fields", "_job_phrases", levels.alias("_levels"))
         .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("country")))).alias("_country"))
         .select("*", F.explode(F.array_compact(F.array(F.lit("*"), F.col("experience")))).alias("_experience"))
         .select("*", F.explode(F.concat(
@@ -247,8 +285,11 @@ def eligible_pairs(
             F.coalesce(job_cells, F.array().cast("array<string>")),
         )).alias("_place"))
         .select("*", F.explode(F.concat(F.array(F.lit(_ANY_FIELD)), "_job_fields")).alias("_field"))
+        .select("*", F.explode(F.concat(F.array(F.lit("*")), F.transform(
+            "_job_phrases", lambda phrase: F.concat(F.lit("t:"), phrase)))).alias("_text"))
+        .drop("_job_phrases")
     )
-    keys = ["_country", "_experience", "_place", "_field"]
+    keys = ["_country", "_experience", "_place", "_field", "_text"]
     keyed = keyed.join(asked.select(*keys).distinct(), keys, "left_semi")
     away = geo_distance(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
     # remote jobs are found under their city, so a cell never finds them a second time
@@ -260,13 +301,6 @@ def eligible_pairs(
     first = (F.size("_earlier") <= 0) | ~F.exists("_earlier", _satisfies)
     common = F.get(F.array_intersect("_fields", "_job_fields"), F.lit(0))
     first_field = (F.col("_field") == _ANY_FIELD) | (F.col("_field") == common)
-    text = (
-        F.when(F.col("_phrase").isNull(), F.lit(True))
-        .when(F.col("_plain_phrase").isNotNull(),
-              F.coalesce(F.lower("title").contains(F.col("_plain_phrase")), F.lit(False))
-              | F.coalesce(F.lower("description").contains(F.col("_plain_phrase")), F.lit(False)))
-        .otherwise(phrase_matches(F.col("title"), F.col("description"), F.col("_phrase")))
-    )
     company = (
         F.when(F.col("_company").isNull(), F.lit(True))
         .when(F.col("_plain_company").isNotNull(),
@@ -276,5 +310,5 @@ def eligible_pairs(
     remote = ~F.col("_remote") | is_remote(F.col("city"))
     return salted_join(
         keyed, asked, keys, salts=salts,
-        extra=remote & company & near & text & first & first_field, spread_by=[job_id],
+        extra=remote & company & near & first & first_field, spread_by=[job_id],
     ).select(request_id, job_id, *keep)

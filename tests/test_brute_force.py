@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwright import fixed_values as fv
 from pairwright.operators import (
-    aggregates, assets, augment, evaluation, geo, paging, quantiles, ranking, samples, skew, skills, vectors,
+    aggregates, assets, augment, evaluation, filters, geo, paging, quantiles, ranking, samples, skew, skills, vectors,
 )
 from tests.conftest import rows
 
@@ -134,6 +134,30 @@ def test_no_task_orders_more_than_the_budget(spark, by, monkeypatch):
     assert 3 <= len(seen) <= 6
 
 
+def test_phrases_find_the_same_pairs_as_a_scan(spark):
+    """Short, wildcard, repeated and absent phrases, any case, null titles: every pair once."""
+    rng = random.Random(8)
+    words = ["Data", "éclair", "a_b", "50%", "Engineer", "x", "ba na", "ΣΑΣ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    jobs = spark.createDataFrame(
+        [(i, None if i % 9 == 0 else texts[i], None if i % 7 == 0 else texts[-i], ("Mid-level", None)[i % 2], "co", "town", "Norway")
+         for i in range(80)],
+        "job_id int, title string, description string, experience string, company_name string, city string, country string",
+    ).withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
+    phrases = ["data", "DATA ENG", "x", "", "a\\_b", "a_b", "%na", "50\\%", "missing run", "  éCLAIR ", None, "gineer x", "a%x", "_"]
+    asked = spark.createDataFrame(
+        [(i, None, None if p is None else [p], ["Mid-level"] if i % 3 == 0 else None, None, None, None) for i, p in enumerate(phrases * 2)],
+        "request_id int, locations array<struct<country:string,city:string,latitude:double,longitude:double,radius_km:double>>, "
+        "keywords array<string>, experience array<string>, company string, is_remote_only boolean, fields array<bigint>")
+    got = rows(filters.eligible_pairs(asked, jobs, keep=("title", "city")))
+    want = set()
+    for i, p in enumerate(phrases * 2):
+        match = F.lit(True) if p is None else filters.phrase_matches(F.col("title"), F.col("description"), F.lit(p.strip()))
+        level = F.col("experience") == "Mid-level" if i % 3 == 0 else F.lit(True)
+        want |= {(i, r.job_id, r.title, r.city) for r in jobs.where(match & level).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_running_sums_over_rank_ranges(spark):
     df = spark.createDataFrame([(k % 2, k // 2 + 1, k) for k in range(60)], "g int, rank int, v int")
     got = skew.running_sum_by_rank(df, ["g"], "rank", F.col("v"), "run", rows_per_bucket=4).collect()
